@@ -11,6 +11,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows found in each document."""
+    from cuelight.llm.decontamination import contamination_report
+
+    return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word counts that a mix to target weights takes of each document."""
     from cuelight.llm.mixing import mix_sources
@@ -44,9 +51,11 @@ def op10_shard_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {f.__name__: f for f in (op6_mix_sources, op8_quality_rules, op9_token_files, op10_shard_store)}
+    return {f.__name__: f for f in (op4_decontamination, op6_mix_sources, op8_quality_rules, op9_token_files, op10_shard_store)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {}
+    from cuelight.llm import decontamination
+
+    return {"op4_decontamination": decontamination.ORACLE}
