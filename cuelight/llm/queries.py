@@ -11,6 +11,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of each document."""
+    from cuelight.llm.language_id import language_report
+
+    return language_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in each document."""
     from cuelight.llm.decontamination import contamination_report
@@ -51,7 +58,7 @@ def op10_shard_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {f.__name__: f for f in (op4_decontamination, op6_mix_sources, op8_quality_rules, op9_token_files, op10_shard_store)}
+    return {f.__name__: f for f in (op3_language_id, op4_decontamination, op6_mix_sources, op8_quality_rules, op9_token_files, op10_shard_store)}
 
 
 def oracle_sql() -> dict[str, str]:
