@@ -11,6 +11,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of each document."""
+    from cuelight.llm.quality_classifier import quality_report
+
+    return quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of each document."""
     from cuelight.llm.language_id import language_report
@@ -32,6 +39,13 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each document."""
+    from cuelight.llm.toxicity import toxicity_report
+
+    return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and the cascade's verdict per document."""
     from cuelight.llm.quality_rules import quality_rules
@@ -58,7 +72,7 @@ def op10_shard_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {f.__name__: f for f in (op3_language_id, op4_decontamination, op6_mix_sources, op8_quality_rules, op9_token_files, op10_shard_store)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_language_id, op4_decontamination, op6_mix_sources, op7_toxicity, op8_quality_rules, op9_token_files, op10_shard_store)}
 
 
 def oracle_sql() -> dict[str, str]:
