@@ -18,6 +18,13 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    from cuelight.llm.ngram_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of each document."""
     from cuelight.llm.language_id import language_report
@@ -72,7 +79,7 @@ def op10_shard_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {f.__name__: f for f in (op1_quality_classifier, op3_language_id, op4_decontamination, op6_mix_sources, op7_toxicity, op8_quality_rules, op9_token_files, op10_shard_store)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_ngram_join, op3_language_id, op4_decontamination, op6_mix_sources, op7_toxicity, op8_quality_rules, op9_token_files, op10_shard_store)}
 
 
 def oracle_sql() -> dict[str, str]:
