@@ -39,6 +39,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document in strings of 100 bytes that also start earlier."""
+    from cuelight.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word counts that a mix to target weights takes of each document."""
     from cuelight.llm.mixing import mix_sources
@@ -79,7 +86,7 @@ def op10_shard_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {f.__name__: f for f in (op1_quality_classifier, op2_ngram_join, op3_language_id, op4_decontamination, op6_mix_sources, op7_toxicity, op8_quality_rules, op9_token_files, op10_shard_store)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_ngram_join, op3_language_id, op4_decontamination, op5_suffix_dedup, op6_mix_sources, op7_toxicity, op8_quality_rules, op9_token_files, op10_shard_store)}
 
 
 def oracle_sql() -> dict[str, str]:
