@@ -26,8 +26,10 @@ from cuelight.llm.common import chunks
 from cuelight.llm.fitting import bounded_sample, held_out
 
 #: Labelled documents of either class that the model is fitted on at most, and their text in all.
-FIT_DOCS, FIT_BYTES = 6000, 48 << 20
+FIT_DOCS, FIT_BYTES = 6000, 24 << 20
 ORDINARY_BYTES, TOXIC_BYTES = 24 << 10, 4 << 10
+#: Ordinary text that its dictionary is trained on at most, some hundred times the dictionary's size.
+SAMPLE_BYTES = 4 << 20
 #: A toxic word is in so many toxic documents, as a share and at least, and so much likelier there.
 TOXIC_SHARE, TOXIC_LEAST, TOXIC_ODDS = 0.012, 3, 8.0
 WINDOW_BYTES = 48
@@ -134,9 +136,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25
 
 def fit_texts(texts: list[str | None], labels: np.ndarray) -> Model:
     """A model from labelled texts."""
-    seen, words = set(), []
+    seen, one, words = set(), {}, []
     for t in texts:
-        words.append([] if t in seen else windows(t))  # copies would lend their words weight
+        words.append([] if t in seen else [one.setdefault(w, w) for w in windows(t)])  # copies would lend their words weight
         seen.add(t)
     used = [Counter(), Counter()]
     for ws, y in zip(words, labels.tolist(), strict=True):
@@ -146,16 +148,23 @@ def fit_texts(texts: list[str | None], labels: np.ndarray) -> Model:
     telling = {w for w, c in used[1].items() if c >= max(TOXIC_LEAST, TOXIC_SHARE * n[1]) and odds(w) > TOXIC_ODDS}
     sentence = lambda ws: b"".join(LEFT + w + RIGHT for w in ws)
     toxic = [sentence([w for w in ws if w in telling]) for ws, y in zip(words, labels.tolist(), strict=True) if y]
-    ordinary = [sentence(ws) for ws, y in zip(words, labels.tolist(), strict=True) if not y and ws]
+    ordinary, room = [], SAMPLE_BYTES
+    for ws, y in zip(words, labels.tolist(), strict=True):
+        if not y and ws and room > 0:
+            ordinary.append(sentence(ws))
+            room -= len(ordinary[-1])
     # The end of a dictionary is the cheapest to refer to: each telling word once, the commonest last.
     trained = _dictionary([x for x in toxic if len(x) > 2] * 8, TOXIC_BYTES)
     listed = sentence(sorted(telling, key=lambda w: (used[1][w], w)))[-TOXIC_BYTES:]
     carrier = sentence([w for w, _ in sorted(used[0].items(), key=lambda x: (-x[1], x[0]))[:12]])
     model = Model(_dictionary(ordinary, ORDINARY_BYTES) + carrier, trained + listed, carrier)
+    del words, one, used, seen, ordinary, toxic
     if len(set(labels.tolist())) < 2:
         model.weights[-1] = 4.0 if labels.sum() else -4.0
         return model
-    model.weights = _logistic(features(*Buckets(model).counts(texts)), labels.astype(float))
+    buckets = Buckets(model)
+    x = [features(*buckets.counts(texts[i : i + 256])) for i in range(0, len(texts), 256)]
+    model.weights = _logistic(np.concatenate(x), labels.astype(float))
     return model
 
 
