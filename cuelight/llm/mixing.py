@@ -68,9 +68,9 @@ def running_start(df: DataFrame, keys: list[str], order: list[Column], bucket: C
 def mixed_schedule(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Sizes per row, targets per source, slots of the schedule and pieces of documents, for docs(doc_id, text, source).
 
-    Sizes: (doc_id, source, size). Targets: (sid, source, source_size, weight, target, words, block). Slots: (slot,
-    sid, rank, n_words, block_id), in training order. Pieces: (sid, block_id, doc_id, size, at, begin, end), the
-    words of a document that a block holds; `at` is the document's first word in its source.
+    Sizes: (doc_id, source, size, _text, _key), the last two hashes of text and id. Targets: (sid, source, source_size, weight, target, words, block). Slots: (slot,
+    sid, rank, n_words, block_id), in training order. Pieces: (sid, block_id, doc_id, size, _text, at, begin, end),
+    the words of a document that a block holds; `at` is the document's first word in its source.
     Null texts and texts without words have size 0 and are in no block. Rows that share a doc_id are documents
     of their own. Other columns of docs are ignored. An empty table has no sources and no slots.
     """
@@ -85,16 +85,16 @@ def mixed_schedule(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int =
     seen = targets.agg(F.sum("words").alias("words"), F.max("block").alias("block"), F.count("*").alias("n")).first()
     if not seen.words:
         slots = spark.createDataFrame([], "slot long, sid int, rank long, n_words long, block_id long")
-        return sized, targets, slots, spark.createDataFrame([], "sid int, block_id long, doc_id long, size long, at long, begin long, end long")
+        return sized, targets, slots, spark.createDataFrame([], "sid int, block_id long, doc_id long, size long, _text long, at long, begin long, end long")
     block, n_sources, n_docs = seen.block, seen.n, sized.count()
 
     # Documents in hash order, end to end within their source, cut into blocks.
     n_buckets = max(1, -(-n_docs // BUCKET_ROWS))
     placed = sized.join(targets.select("source", "sid", "source_size"), sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     placed = running_start(placed.filter("size > 0"), ["sid"], [F.col("_key"), F.col("doc_id"), F.col("_text")], F.shiftrightunsigned("_key", 33) % n_buckets, F.col("size"), "at")
-    pieces = placed.select("sid", "doc_id", "size", "at", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block_id"))
+    pieces = placed.select("sid", "doc_id", "size", "_text", "at", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block_id"))
     into = F.col("at") - F.col("block_id") * block
-    pieces = pieces.select("sid", "block_id", "doc_id", "size", "at", F.greatest(into, F.lit(0)).alias("begin"), F.least(into + F.col("size"), F.lit(block)).alias("end"))
+    pieces = pieces.select("sid", "block_id", "doc_id", "size", "_text", "at", F.greatest(into, F.lit(0)).alias("begin"), F.least(into + F.col("size"), F.lit(block)).alias("end"))
 
     # Slots: rather more than needed, as a source's share of a low-discrepancy sequence is off by a few slots.
     by = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
@@ -118,18 +118,35 @@ def mixed_schedule(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int =
     return sized, targets, slots, pieces
 
 
-def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
-    """Per row of docs: doc_id, size, source_size, target (its source's) and taken, the words that the mix takes.
-
-    Each source's taken words are its target rounded; no document is taken more than three times over.
-    See mixed_schedule() for nulls, ties and empty tables.
-    """
+def _taken(docs: DataFrame, block_words: int, seed: int) -> DataFrame:
+    """Per row of docs: doc_id, _text, size, source_size, target and taken."""
     sized, targets, slots, pieces = mixed_schedule(docs, block_words, seed)
     # The slots of a block differ in n_words only at a source's end: pre-aggregate by (source, block, length).
     uses = slots.groupBy("sid", "block_id", "n_words").agg(F.count("*").alias("uses"))
     held = F.greatest(F.lit(0), F.least(F.col("end"), F.col("n_words")) - F.col("begin")) * F.col("uses")
-    taken = pieces.join(uses, ["sid", "block_id"], "left").groupBy("sid", "at", "doc_id", "size").agg(F.coalesce(F.sum(held), F.lit(0)).cast("long").alias("taken"))
+    taken = pieces.join(uses, ["sid", "block_id"], "left").groupBy("sid", "at", "doc_id", "_text", "size").agg(F.coalesce(F.sum(held), F.lit(0)).cast("long").alias("taken"))
     known = targets.select("sid", "source_size", "target")
-    out = ["doc_id", "size", "source_size", "target", "taken"]
+    out = ["doc_id", "_text", "size", "source_size", "target", "taken"]
     none = sized.filter("size = 0").join(targets, sized["source"].eqNullSafe(targets["source"])).withColumn("taken", F.lit(0).cast("long"))
     return taken.join(known, "sid").select(out).unionByName(none.select(out))
+
+
+def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
+    """Per row of docs: doc_id, size, source_size, target (its source's) and taken, the words that the mix takes.
+
+    Each source's taken words are its target rounded; no document is taken more than three times over.
+    See mixed_schedule() for nulls, ties and empty tables.
+    """
+    return _taken(docs, block_words, seed).drop("_text")
+
+
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
+    """docs as the mix takes them: each row as often as its taken words hold it, rounded; rows taken not at all go.
+
+    Only the documents at the end of a source's last block are taken in part. Equal rows share their copies.
+    """
+    taken = _taken(docs, block_words, seed).filter("taken > 0")
+    copies = taken.withColumn("n", F.round(F.col("taken") / F.col("size"))).groupBy(F.col("doc_id").alias("_id"), "_text").agg(F.ceil(F.sum("n") / F.count("*")).cast("int").alias("_copies"))
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    joined = keyed.join(copies, keyed["doc_id"].eqNullSafe(copies["_id"]) & (keyed["_hash"] == copies["_text"])).filter("_copies > 0")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select([keyed[c] for c in docs.columns])

@@ -123,7 +123,7 @@ def _emitter(shared, percent: int, boundary: int, heavies: bool) -> Callable:
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for uid, n, low in zip(batch.column("uid").to_pylist(), batch.column("n").to_pylist(), batch.column("low").to_pylist(), strict=True):
-                if n < 100 // (100 - percent):  # only equal sets are linked with so small a one
+                if 100 * n < percent * (n + 1):  # only equal sets are linked with so small a one
                     continue
                 s, is_heavy = _ordered(low, heavy)
                 p = prefix_size(n, percent)
@@ -388,6 +388,8 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     Of rows that share the smallest doc_id one stays.
     """
     keep = jaccard_components(docs, size, percent)
-    first = keep.filter("doc_id = component_id").select("doc_id").distinct()
-    alone = docs.filter(F.col("doc_id").isNull())
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(alone)
+    first = written(keep.filter("doc_id = component_id").groupBy("doc_id").count(), "kept-ids")
+    kept = docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    if not first.filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -84,9 +84,16 @@ def op10_shard_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_report(sharded(_table(spark, sf_dir, "documents")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {f.__name__: f for f in (op1_quality_classifier, op2_ngram_join, op3_language_id, op4_decontamination, op5_suffix_dedup, op6_mix_sources, op7_toxicity, op8_quality_rules, op9_token_files, op10_shard_store)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_ngram_join, op3_language_id, op4_decontamination, op5_suffix_dedup, op6_mix_sources, op7_toxicity, op8_quality_rules, op9_token_files, op10_shard_store, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

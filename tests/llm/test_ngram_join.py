@@ -11,13 +11,13 @@ SCHEMA = "doc_id long, text string, n string, uid string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(text):
+def shingles(text, size=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
-    return frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))) if w else frozenset()
+    return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
 
 
-def brute(docs):
-    sets = [(i, shingles(t)) for i, t in docs]
+def brute(docs, size=4, percent=85):
+    sets = [(i, shingles(t, size)) for i, t in docs]
     root = list(range(len(sets)))
 
     def find(x):
@@ -27,7 +27,7 @@ def brute(docs):
 
     for x, (i, s) in enumerate(sets):
         for y, (j, t) in enumerate(sets[:x]):
-            if i is not None and j is not None and s and 100 * len(s & t) >= 85 * len(s | t):
+            if i is not None and j is not None and s and 100 * len(s & t) >= percent * len(s | t):
                 a, b = find(x), find(y)
                 root[a] = b
     least = {}
@@ -64,10 +64,10 @@ def corpus(seed=3, n=420):
     return [*docs, (3, "another text of the same id as three"), (n, None), (n + 1, ""), (n + 2, " \n"), (None, docs[2][1]), (n + 3, docs[2][1].upper()), (n + 3, docs[2][1])]
 
 
-def check(spark, docs):
+def check(spark, docs, *how):
     df = spark.createDataFrame([(*d, "clash", "clash") for d in docs], SCHEMA).repartition(3)
-    got = jaccard_components(df).collect()
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(docs)
+    got = jaccard_components(df, *how).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(docs, *how)
     return df, got
 
 
@@ -90,7 +90,7 @@ def test_long_lists_and_blocks(spark, monkeypatch):
 
 def test_small_sets_by_subsets(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "choose_boundary", lambda *a: 30)
-    check(spark, corpus(7, 240))
+    check(spark, corpus(7, 240), 5, 80)
     assert choose_boundary({10: 100, 20: 1, 300: 100}, 5.0, 85) == 20 and choose_boundary({300: 100}, 0.0, 85) == 0
 
 
