@@ -14,10 +14,21 @@ from cuelight.functions import text as X
 
 
 def scan_srt(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """path, content, length of the .srt files under root; show_id is the folder that a file is in."""
+    """path, content, length of the .srt files under root; show_id is the folder that a file is in.
+
+    Spark's reader passes over files without a byte, so their names come from the file system's listing.
+    """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.srt")
     reader = reader.option("recursiveFileLookup", True) if recursive else reader
-    return reader.load(root).select("path", "content", "length", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("show_id"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listing = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, recursive)
+    void = []
+    while listing.hasNext():
+        f = listing.next()
+        if f.getLen() == 0 and f.getPath().getName().endswith(".srt"):
+            void.append((f.getPath().toString(), b"", 0))
+    rows = reader.load(root).select("path", "content", "length").unionByName(spark.createDataFrame(void, "path string, content binary, length long"))
+    return rows.withColumn("show_id", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
 
 
 def sample_files(files: DataFrame, n: int) -> DataFrame:
