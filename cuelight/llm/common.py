@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space and words of the size, shingle and quality contracts.
 SPACE = r"[\x20\x09-\x0D]"
@@ -48,6 +49,24 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(conf).delete(p, True)
 
 
+#: Bits of the sketch of keys that a join needs. Its size is fixed: a full one only lets more rows through.
+SKETCH_BITS = 1 << 23
+
+
+def split_by_sketch(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of df whose key may be among wanted(key), and rows whose key isn't.
+
+    The sketch is a bitmap of hashed keys, SKETCH_BITS / 64 words at most however many keys there are, so that it
+    can go to all workers. A join of the first part then shuffles few rows in vain.
+    """
+    slot = lambda: F.pmod(F.xxhash64(F.col(key)), F.lit(SKETCH_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot() % 64).cast("int"))
+    words = wanted.select(F.floor(slot() / 64).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    tested = df.withColumn("_word", F.floor(slot() / 64)).join(F.broadcast(written(words, "sketch")), "_word", "left")
+    hit = F.coalesce(F.col("_bits"), F.lit(0)).bitwiseAND(bit) != 0
+    return tested.filter(hit).select(df.columns), tested.filter(~hit).select(df.columns)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and each row's offsets; null is empty."""
     column = column.fill_null("")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import chunks, lower_ascii, mix, not_space, prefix_hash, span_hash, text_bytes, word_spans, written
+from cuelight.llm.common import chunks, lower_ascii, mix, not_space, prefix_hash, span_hash, split_by_sketch, text_bytes, word_spans, written
 from cuelight.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
@@ -357,14 +357,19 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     sets = written(rows.mapInArrow(_sets(size, percent), "doc_id long, n long, h1 long, h2 long, low binary").withColumn("uid", F.monotonically_increasing_id()), "shingle-sets")
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")
     groups = written(known.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "uid")).alias("r")).select("h1", "h2", "r.doc_id", "r.uid"), "shingle-classes")
-    classes = written(known.select("uid", "n", "low").join(groups.select("uid"), "uid", "left_semi"), "class-sets")
+    # Nearly all rows stand for their class: only those that may not are shuffled to find out.
+    others = written(known.select("uid").join(groups.select("uid"), "uid", "left_anti"), "other-rows")
+    maybe, first = split_by_sketch(known.select("uid", "n", "low"), "uid", others)
+    classes = written(first.unionByName(maybe.join(groups.select("uid"), "uid", "left_semi")), "class-sets")
     clusters = components(_candidates(classes, percent))
     members = clusters.select(F.col("a").alias("uid"), F.col("b").alias("cluster")).unionByName(clusters.select(F.col("b").alias("uid"), F.col("b").alias("cluster")).distinct())
     members = members.join(classes.select("uid", "n"), "uid").join(groups, "uid")
     members = written(members, "members")
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     wanted = members.join(sizes, "cluster").select("cluster", "uid", "parts", "doc_id", "h1", "h2")
-    whole = rows.join(wanted, "doc_id").select("cluster", "uid", "parts", "h1", "h2", "text").mapInArrow(_full_sets(size), "cluster long, uid long, parts int, tokens binary").filter("tokens IS NOT NULL")
+    wanted = written(wanted, "wanted-sets")
+    maybe, _ = split_by_sketch(rows, "doc_id", wanted.select("doc_id"))
+    whole = maybe.join(wanted, "doc_id").select("cluster", "uid", "parts", "h1", "h2", "text").mapInArrow(_full_sets(size), "cluster long, uid long, parts int, tokens binary").filter("tokens IS NOT NULL")
     own = F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")
     blocks = whole.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # A block pairs part x with part y > x, or part x with itself; side tells the two parts apart.

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import chunks, prefix_hash, span_hash, text_bytes, written
+from cuelight.llm.common import chunks, prefix_hash, span_hash, split_by_sketch, text_bytes, written
 from cuelight.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 24
@@ -26,8 +26,6 @@ LENGTH, GRAM = 100, 24
 HOT_CONTENTS = 1000
 #: Text in one suffix array, but for a shard's single larger group.
 SHARD_BYTES = 1 << 20
-#: Bits of the sketch of documents that a join needs; its size is fixed, and a full one only lets more rows through.
-SKETCH_BITS = 1 << 23
 NULL_ID = -(2**63)
 
 _ROWS = "kind byte, key long, content long, id long, twin long, start long, n int, off int"
@@ -228,20 +226,6 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _sketch(ids: DataFrame) -> DataFrame:
-    """Words of a bitmap of hashed ids: at most SKETCH_BITS / 64 rows, whatever their number."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(SKETCH_BITS))
-    return ids.select((slot / 64).cast("long").alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {SKETCH_BITS}) % 64 as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-
-
-def _split(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs(id, text) that may be among ids, and docs that aren't."""
-    words = F.broadcast(written(_sketch(ids), "sketch"))
-    tested = docs.withColumn("_word", (F.pmod(F.xxhash64("id"), F.lit(SKETCH_BITS)) / 64).cast("long")).join(words, "_word", "left")
-    bit = F.expr(f"(coalesce(_bits, 0L) & shiftleft(1L, cast(pmod(xxhash64(id), {SKETCH_BITS}) % 64 as int))) != 0")
-    return tested.filter(bit).select("id", "text"), tested.filter(~bit).select("id", "text")
-
-
 def _digest(unique: bool, with_kept: bool) -> Callable:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -288,12 +272,12 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     settled = written(runs.repartition("key").mapInArrow(_settle(HOT_CONTENTS), _ROWS), "settled-runs")
     edges = settled.filter(F.col("kind") >= EDGE).groupBy("id", "twin").agg(F.collect_list(F.struct("key", "start", "n", "off", "kind")).alias("edges"))
     edges = written(edges, "edge-runs")
-    maybe, _ = _split(rows, edges.select("id"))
+    maybe, _ = split_by_sketch(rows, "id", edges.select("id"))
     fetched = maybe.join(edges, "id").mapInArrow(_fetch(unique), "key long, id long, twin long, start long, n long, bytes binary")
     beside = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_shards, _ROWS)
     found = settled.filter(F.col("kind") == REPEAT).unionByName(beside)
     repeats = written(found.groupBy("id").agg(F.collect_list(F.struct("twin", "start", "n")).alias("repeats")), "repeats")
-    maybe, clean = _split(rows, repeats.select("id"))
+    maybe, clean = split_by_sketch(rows, "id", repeats.select("id"))
     none = clean.withColumn("repeats", F.lit(None).cast(repeats.schema["repeats"].dataType))
     every = maybe.join(repeats, "id", "left").unionByName(none.select("id", "text", "repeats"))
     return every.mapInArrow(_digest(unique, with_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
