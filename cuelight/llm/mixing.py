@@ -76,7 +76,8 @@ def mixed_schedule(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int =
     """
     spark = docs.sparkSession
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_text"))
-    sized = written(sized.withColumn("_key", F.xxhash64("doc_id", F.lit(seed))), "mix-sizes")
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
+    sized = written(sized.withColumn("_key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")), "mix-sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     head = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy(F.lit(0)))
@@ -91,7 +92,7 @@ def mixed_schedule(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int =
     # Documents in hash order, end to end within their source, cut into blocks.
     n_buckets = max(1, -(-n_docs // BUCKET_ROWS))
     placed = sized.join(targets.select("source", "sid", "source_size"), sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    placed = running_start(placed.filter("size > 0"), ["sid"], [F.col("_key"), F.col("doc_id"), F.col("_text")], F.shiftrightunsigned("_key", 33) % n_buckets, F.col("size"), "at")
+    placed = running_start(placed.filter("size > 0"), ["sid"], [F.col("_key"), F.col("doc_id"), F.col("_text")], F.shiftright(F.shiftright("_key", 30) * n_buckets, 30), F.col("size"), "at")
     pieces = placed.select("sid", "doc_id", "size", "_text", "at", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block_id"))
     into = F.col("at") - F.col("block_id") * block
     pieces = pieces.select("sid", "block_id", "doc_id", "size", "_text", "at", F.greatest(into, F.lit(0)).alias("begin"), F.least(into + F.col("size"), F.lit(block)).alias("end"))
@@ -150,3 +151,18 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int =
     keyed = docs.withColumn("_hash", F.xxhash64("text"))
     joined = keyed.join(copies, keyed["doc_id"].eqNullSafe(copies["_id"]) & (keyed["_hash"] == copies["_text"])).filter("_copies > 0")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select([keyed[c] for c in docs.columns])
+
+
+#: DuckDB: a source's stream of words, in hash order and repeated, is taken up to its target.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+           CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':0'), 1, 15) AS BIGINT) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+l AS (SELECT *, row_number() OVER w AS place, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+      FROM r WINDOW w AS (ORDER BY 3 * source_size / weight, source NULLS LAST), b AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), weight * (SELECT arg_min(level, place) FROM l WHERE 3 * source_size >= weight * level)) AS target FROM l),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS words, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE words // source_size * size + greatest(0, least(size, words % source_size - begin)) END AS BIGINT) AS taken FROM p
+"""

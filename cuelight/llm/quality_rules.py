@@ -142,3 +142,18 @@ def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows:
     ordered = order_rules(sample, rules, sample_rows)
     measured = base_measures(docs)
     return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.isnull(cascade(ordered)))
+
+
+#: DuckDB: the measures and all default rules.
+ORACLE = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i + 1 : i + 5], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 4, 0))) AS i FROM w)),
+h AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+n AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM h) GROUP BY doc_id),
+m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, len(string_split(t, chr(10))) AS n_lines, coalesce(n.n, 0) AS n_repeat_words,
+      length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS upper FROM w LEFT JOIN n ON w.doc_id = n.doc_id),
+b AS (SELECT *, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (10 * n_symbols > 3 * n_words) AND NOT (word_chars > 15 * n_words OR 2 * word_chars < 5 * n_words)
+AND NOT (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines) AND NOT (2 * upper > letters) AND NOT (2 * letters < word_chars) AS kept FROM b
+"""

@@ -98,6 +98,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    from cuelight.llm import decontamination
+    from cuelight.llm import decontamination, mixing, quality_rules
 
-    return {"op4_decontamination": decontamination.ORACLE}
+    return {"op4_decontamination": decontamination.ORACLE, "op6_mix_sources": mixing.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
