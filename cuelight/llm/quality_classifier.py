@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS) -> Model:
     """A model from labels.quality of documents that aren't held out, about `limit` of either class at most."""
     marked = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     rows = [bounded_sample(marked.filter(F.col("quality") == k), F.col("doc_id"), limit) for k in (0, 1)]
-    chosen = docs.select("doc_id", "text").join(rows[0].unionByName(rows[1]).dropDuplicates(["doc_id"]), "doc_id")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(rows[0].unionByName(rows[1]).dropDuplicates(["doc_id"])), "doc_id")  # the sample is bounded
     got = sorted(chosen.mapInArrow(_indexer, "doc_id long, quality int, buckets binary").collect(), key=lambda r: (r.doc_id, bytes(r.buckets)))
     return fit_indicators([np.frombuffer(r.buckets, "<i4") for r in got], np.array([r.quality for r in got], int))
 

@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS, limit_bytes:
     """
     marked = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     rows = [bounded_sample(marked.filter(F.col("toxic") == k), F.col("doc_id"), limit) for k in (0, 1)]
-    chosen = docs.select("doc_id", "text").join(rows[0].unionByName(rows[1]).dropDuplicates(["doc_id"]), "doc_id")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(rows[0].unionByName(rows[1]).dropDuplicates(["doc_id"])), "doc_id")  # the sample is bounded
     size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > limit_bytes:
         chosen = chosen.filter(F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(1 << 30)) < int(limit_bytes / size * (1 << 30)))
