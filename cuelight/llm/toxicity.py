@@ -2,7 +2,7 @@
 
 A window is a framed word after a fixed carrier phrase; training text is framed alike, so that a match may run over a
 word's ends. It is compressed with either dictionary; the bytes that the toxic one
-saves, with the window's length, put it into a bucket. How telling each bucket is comes from labelled documents: a
+saves, with the window's length, put it into a bucket, once with a wide frame and once with a narrow one. How telling each bucket is comes from labelled documents: a
 regularised logistic model over the buckets' counts is the calibrated threshold of the decision.
 
 Toxic text for training is what remains of toxic documents without the words that ordinary documents use about as
@@ -39,8 +39,9 @@ N_BUCKETS = (MAX_GAIN + 2) * (MAX_LENGTH + 1)
 #: Words kept per worker with their buckets; bounds memory, not results.
 CACHE_WORDS = 1_000_000
 
-#: Marks around each word, in windows as in training text.
-LEFT, RIGHT = b"<<<<", b">>>>"
+#: Marks around each word, in windows as in training text. Wide ones favour whole words, narrow ones beginnings.
+FRAMES = ((b"<<<<", b">>>>"), (b"<<", b">>"))
+RIDGE = 0.3
 
 _WORDS = re.compile(rb"[a-z\x80-\xff]+")
 
@@ -55,12 +56,14 @@ def windows(text: str | None) -> list[bytes]:
 
 @dataclass
 class Model:
-    """Dictionary contents, the carrier phrase and a weight for each bucket, then for length, then the offset."""
+    """Per frame: ordinary and toxic dictionary and carrier phrase; a weight for each bucket, then for length, then the offset."""
 
-    ordinary: bytes
-    toxic: bytes
-    carrier: bytes
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(N_BUCKETS + 2))
+    dictionaries: list[tuple[bytes, bytes, bytes]]
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(FRAMES) * N_BUCKETS + 2))
+
+    def key(self) -> int:
+        """Tells models apart in a worker."""
+        return hash((*self.dictionaries, self.weights.tobytes()))
 
 
 class Buckets:
@@ -75,16 +78,20 @@ class Buckets:
             trained.precompute_compress(compression_params=params)
             return zstandard.ZstdCompressor(dict_data=trained, compression_params=params).compress
 
-        self.carrier, self.known = model.carrier, {}
-        self.ordinary, self.toxic = compressor(model.ordinary), compressor(model.ordinary + model.toxic)
+        self.known: dict[bytes, int] = {}
+        self.frames = [(carrier + left, right, compressor(ordinary), compressor(ordinary + toxic)) for (left, right), (ordinary, toxic, carrier) in zip(FRAMES, model.dictionaries, strict=True)]
 
     def bucket(self, w: bytes) -> int:
-        window = self.carrier + LEFT + w + RIGHT
-        gain = len(self.ordinary(window)) - len(self.toxic(window))
-        return (min(MAX_GAIN, max(-1, gain)) + 1) * (MAX_LENGTH + 1) + min(MAX_LENGTH, len(w))
+        """Buckets of a window under all frames, as one number."""
+        code = 0
+        for before, after, ordinary, toxic in self.frames:
+            window = before + w + after
+            gain = len(ordinary(window)) - len(toxic(window))
+            code = code * N_BUCKETS + (min(MAX_GAIN, max(-1, gain)) + 1) * (MAX_LENGTH + 1) + min(MAX_LENGTH, len(w))
+        return code
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(text, bucket) counts and the number of windows of each text."""
+        """(text, bucket) counts, frame by frame, and the number of windows of each text."""
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
@@ -97,8 +104,12 @@ class Buckets:
             rows.append(len(ws))
             codes += [known[w] for w in ws]
         n = np.array(rows, np.int64)
-        at = np.repeat(np.arange(len(texts)) * N_BUCKETS, n) + np.array(codes, np.int64)
-        return np.bincount(at, minlength=len(texts) * N_BUCKETS).reshape(len(texts), N_BUCKETS), n
+        code, out = np.array(codes, np.int64), []
+        for _ in FRAMES:
+            code, own = np.divmod(code, N_BUCKETS)
+            at = np.repeat(np.arange(len(texts)) * N_BUCKETS, n) + own
+            out.append(np.bincount(at, minlength=len(texts) * N_BUCKETS).reshape(len(texts), N_BUCKETS))
+        return np.concatenate(out, 1), n
 
 
 def features(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -118,7 +129,7 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return whole[:size]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 25) -> np.ndarray:
     """Ridge logistic weights by damped Newton steps."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
@@ -146,19 +157,23 @@ def fit_texts(texts: list[str | None], labels: np.ndarray) -> Model:
     n = [max(1, sum(1 for ws, y in zip(words, labels.tolist(), strict=True) if ws and y == k)) for k in (0, 1)]
     odds = lambda w: (used[1][w] + 0.5) / (n[1] + 1) / ((used[0][w] + 0.5) / (n[0] + 1))
     telling = {w for w, c in used[1].items() if c >= max(TOXIC_LEAST, TOXIC_SHARE * n[1]) and odds(w) > TOXIC_ODDS}
-    sentence = lambda ws: b"".join(LEFT + w + RIGHT for w in ws)
-    toxic = [sentence([w for w in ws if w in telling]) for ws, y in zip(words, labels.tolist(), strict=True) if y]
-    ordinary, room = [], SAMPLE_BYTES
-    for ws, y in zip(words, labels.tolist(), strict=True):
-        if not y and ws and room > 0:
-            ordinary.append(sentence(ws))
-            room -= len(ordinary[-1])
-    # The end of a dictionary is the cheapest to refer to: each telling word once, the commonest last.
-    trained = _dictionary([x for x in toxic if len(x) > 2] * 8, TOXIC_BYTES)
-    listed = sentence(sorted(telling, key=lambda w: (used[1][w], w)))[-TOXIC_BYTES:]
-    carrier = sentence([w for w, _ in sorted(used[0].items(), key=lambda x: (-x[1], x[0]))[:12]])
-    model = Model(_dictionary(ordinary, ORDINARY_BYTES) + carrier, trained + listed, carrier)
-    del words, one, used, seen, ordinary, toxic
+    carried = [w for w, _ in sorted(used[0].items(), key=lambda x: (-x[1], x[0]))[:12]]
+    listed = sorted(telling, key=lambda w: (used[1][w], w))  # the end of a dictionary is the cheapest to refer to
+    dictionaries = []
+    for left, right in FRAMES:
+        sentence = lambda ws, left=left, right=right: b"".join(left + w + right for w in ws)
+        toxic, ordinary, room = [], [], SAMPLE_BYTES
+        for ws, y in zip(words, labels.tolist(), strict=True):
+            if y:
+                toxic.append(sentence([w for w in ws if w in telling]))
+            elif ws and room > 0:
+                ordinary.append(sentence(ws))
+                room -= len(ordinary[-1])
+        trained = _dictionary([x for x in toxic if x] * 8, TOXIC_BYTES)
+        carrier = sentence(carried)
+        dictionaries.append((_dictionary(ordinary, ORDINARY_BYTES) + carrier, trained + sentence(listed)[-TOXIC_BYTES:], carrier))
+    model = Model(dictionaries)
+    del words, one, used, seen
     if len(set(labels.tolist())) < 2:
         model.weights[-1] = 4.0 if labels.sum() else -4.0
         return model
@@ -210,7 +225,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("_toxicity")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in docs.schema.fields], T.StructField("_toxicity", T.DoubleType())])
-    return docs.mapInArrow(_scorer(shared, hash((model.toxic, model.ordinary, model.weights.tobytes()))), schema)
+    return docs.mapInArrow(_scorer(shared, model.key()), schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
