@@ -35,18 +35,25 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that this process has written on the way to a result.
+_PASSING: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: later readers survive lost executors and reuse the work."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    _PASSING.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a shared folder through the file system that owns it."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
+def clear_passing(spark: SparkSession) -> int:
+    """Delete the tables of written(), once no result that reads them is needed; returns how many."""
+    n = len(_PASSING)
+    while _PASSING:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_PASSING.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return n
 
 
 #: Bits of the sketch of keys that a join needs. Its size is fixed: a full one only lets more rows through.

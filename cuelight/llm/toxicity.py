@@ -11,7 +11,6 @@ often, as both dictionaries hold ordinary text anyway.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
