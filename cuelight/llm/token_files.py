@@ -18,6 +18,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ NULL_ID = -(2**63)
 #: Words kept per worker with their ids, and the longest word kept; bounds memory, not results.
 CACHE_WORDS, CACHE_LENGTH = 800_000, 48
 #: str.split() breaks at these where the tokenizer does not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _ASCII_SPACE = re.compile("[ \t\n\r\f\v]+")
 
 
@@ -52,17 +53,17 @@ class WordEncoder:
         self.tokenizer, self.dtype, self.by_word, self.known = Tokenizer.from_file(path), np.dtype(dtype), by_word, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.dtype.char, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""
         if not self.by_word:
             return self._encode(texts)
-        words = [_ASCII_SPACE.split(t) if _SEPARATORS.search(t) else t.split() for t in texts]
+        words = [_ASCII_SPACE.split(t) if any(c in t for c in _SEPARATORS) else t.split() for t in texts]
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        new = list({w for ws in words for w in ws if w not in known})
+        new = list(set().union(*words) - known.keys())
         extra = {}
         for w, ids in zip(new, self._encode(new), strict=True):
             (known if len(w) <= CACHE_LENGTH else extra)[w] = ids
