@@ -31,7 +31,7 @@ HEAVY_FROM, HEAVY_MAX, LIST_MAX = 16, 1 << 17, 48
 #: The order begins with shingles whose hash is below this share of all; these are counted to find heavy ones.
 LOW_SHARE = 4
 #: A block of a cluster's matrix product: sets and shingles.
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 2_000_000
 
 _LOWER, _WORD = lower_ascii(), not_space()
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -257,9 +257,11 @@ def _verifier(percent: int) -> Callable:
         split = m if 0 < m < len(rows) else len(rows)
         both = split < len(rows)
         over = _overlaps(sets[:split], sets[split:] if both else None)
-        n = np.array([len(s) for s in sets], np.float64)
+        n = np.array([len(s) for s in sets])
         rest = n[split:] if both else n
-        link = 100 * over.astype(np.float64) >= percent * (n[:split, None] + rest[None, :] - over)
+        link = np.zeros(over.shape, bool)
+        for k in range(0, split, 256):  # whole matrices of long integers would be large
+            link[k : k + 256] = (100 + percent) * over[k : k + 256].astype(np.int64) >= percent * (n[k : min(k + 256, split), None] + rest[None, :])
         if not both:
             np.fill_diagonal(link, False)
         count = np.concatenate([link.sum(1), link.sum(0)]) if both else link.sum(1)
