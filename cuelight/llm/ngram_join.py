@@ -31,7 +31,7 @@ HEAVY_FROM, HEAVY_MAX, LIST_MAX = 16, 1 << 17, 48
 #: The order begins with shingles whose hash is below this share of all; these are counted to find heavy ones.
 LOW_SHARE = 4
 #: A block of a cluster's matrix product: sets and shingles.
-BLOCK_SETS, BLOCK_SHINGLES = 2048, 2_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_500_000
 
 _LOWER, _WORD = lower_ascii(), not_space()
 _STEP = np.uint64(0xD6E8FEB86659FD93)
