@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,17 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text handed to a byte kernel at a time, which bounds a Python worker's memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1_000_000
+
+_WORKER_STATE: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """What a Python worker keeps between tasks, such as words it knows: made once and let go when another is asked for."""
+    if key not in _WORKER_STATE:
+        _WORKER_STATE.clear()
+        _WORKER_STATE[key] = make()
+    return _WORKER_STATE[key]
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

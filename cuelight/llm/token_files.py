@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import chunks, shared_dir, written
+from cuelight.llm.common import chunks, shared_dir, worker_state, written
 
 PARTS = "path string, first_id long, n_docs long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 NULL_ID = -(2**63)
 
 #: Words kept per worker with their ids, and the longest word kept; bounds memory, not results.
-CACHE_WORDS, CACHE_LENGTH = 800_000, 48
+CACHE_WORDS, CACHE_LENGTH = 400_000, 48
 #: str.split() breaks at these where the tokenizer does not.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _ASCII_SPACE = re.compile("[ \t\n\r\f\v]+")
@@ -72,17 +72,6 @@ class WordEncoder:
         return [b"".join([known[w] for w in ws]) for ws in words]
 
 
-#: A Python worker serves many tasks: they share its encoder and the words that it knows.
-_ENCODERS: dict[tuple, WordEncoder] = {}
-
-
-def shared_encoder(*key) -> WordEncoder:
-    """This worker's encoder for a vocabulary."""
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(*key)
-    return _ENCODERS[key]
-
-
 def _local(path: str) -> str:
     """The mounted path of a file: URI; other stores need a mount for memory maps."""
     if path.startswith("file:"):
@@ -94,7 +83,7 @@ def _local(path: str) -> str:
 
 def _writer(folder: str, vocabulary: str, end_id: int, dtype: str, by_word: bool) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = shared_encoder(vocabulary, dtype, by_word), np.array([end_id], dtype).tobytes()
+        encoder, end = worker_state(("tokens", vocabulary, dtype, by_word), lambda: WordEncoder(vocabulary, dtype, by_word)), np.array([end_id], dtype).tobytes()
         base = f"{_local(folder)}/part-{uuid.uuid4().hex}"
         total, docs, first, width = 0, 0, None, np.dtype(dtype).itemsize
         out = None

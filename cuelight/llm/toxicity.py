@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import chunks
+from cuelight.llm.common import chunks, worker_state
 from cuelight.llm.fitting import bounded_sample, held_out
 
 #: Labelled documents of either class that the model is fitted on at most, and their text in all.
@@ -36,7 +36,7 @@ LEVEL = 12
 MAX_GAIN, MAX_LENGTH = 9, 14
 N_BUCKETS = (MAX_GAIN + 2) * (MAX_LENGTH + 1)
 #: Words kept per worker with their buckets; bounds memory, not results.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 #: Marks around each word, in windows as in training text. Wide ones favour whole words, narrow ones beginnings.
 FRAMES = ((b"<<<<", b">>>>"), (b"<<", b">>"))
@@ -197,17 +197,12 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS, limit_bytes:
     return fit_texts([r.text for r in got], np.array([r.toxic for r in got], int))
 
 
-_WORKER: dict[int, Buckets] = {}
-
-
 def _scorer(shared, key: int) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        if key not in _WORKER:  # a worker serves many tasks
-            _WORKER.clear()
-            _WORKER[key] = Buckets(model)
+        buckets = worker_state(("toxicity", key), lambda: Buckets(model))
         for batch in chunks(batches):
-            x = features(*_WORKER[key].counts(batch.column("text").to_pylist())) @ model.weights
+            x = features(*buckets.counts(batch.column("text").to_pylist())) @ model.weights
             out = {c: batch.column(c) for c in batch.schema.names}
             yield pa.RecordBatch.from_pydict(out | {"_toxicity": pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))})
 
