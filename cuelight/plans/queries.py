@@ -347,9 +347,13 @@ def link_enrich(spark: SparkSession, sf: str) -> DataFrame:
 # Retrieval
 
 
-def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+#: Query vectors: the ten that the SQL names, and every row whose id is divisible by 20, which SQL by nested loops can't keep up with.
+_TEN, _WHOLE = "vec_id < 10", "vec_id % 20 = 0"
+
+
+def _vectors(spark: SparkSession, sf: str, which: str = _TEN) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf, "embeddings")
-    return e.filter("vec_id < 10").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), F.col("label").alias("q_label")), e
+    return e.filter(which).select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), F.col("label").alias("q_label")), e
 
 
 _SCORED = """s AS (SELECT q.vec_id AS q, e.vec_id, q.label AS q_label, e.label, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS a FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 10) q)"""
@@ -369,35 +373,85 @@ def ann_topk_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return search.nearest_blocks(q, e, 20, "q", "qv", "vec_id", "embedding").withColumn("ann_score", F.round("ann_score", 6))
 
 
+@query()
+def ann_topk_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """ann_topk of every row whose id is divisible by 20."""
+    q, e = _vectors(spark, sf, _WHOLE)
+    return search.nearest(q, e, 20, "q", "qv", "vec_id", "embedding").withColumn("ann_score", F.round("ann_score", 6))
+
+
+@query()
+def ann_topk_blocks_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """ann_topk_blocks of every row whose id is divisible by 20."""
+    q, e = _vectors(spark, sf, _WHOLE)
+    return search.nearest_blocks(q, e, 20, "q", "qv", "vec_id", "embedding").withColumn("ann_score", F.round("ann_score", 6))
+
+
 _CAPPED = f"""{_SCORED}, t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY a DESC, vec_id) <= 100), c AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY q, label ORDER BY a DESC, vec_id) <= 2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY a DESC, vec_id) AS rank FROM c)"""
 
 
-def _capped(spark: SparkSession, sf: str) -> DataFrame:
-    q, e = _vectors(spark, sf)
-    near = search.nearest(q, e, 100, "q", "qv", "vec_id", "embedding").join(e.select("vec_id", "label"), "vec_id").join(F.broadcast(q.select("q", "q_label")), "q")
+def _near(spark: SparkSession, sf: str, n: int, which: str = _TEN) -> DataFrame:
+    """Nearest vectors with both labels; many queries meet the items in blocks."""
+    q, e = _vectors(spark, sf, which)
+    found = (search.nearest if which == _TEN else search.nearest_blocks)(q, e, n, "q", "qv", "vec_id", "embedding")
+    asked = q.select("q", "q_label")
+    return found.join(e.select("vec_id", "label"), "vec_id").join(F.broadcast(asked) if which == _TEN else asked, "q")
+
+
+def _capped(spark: SparkSession, sf: str, which: str = _TEN) -> DataFrame:
+    near = _near(spark, sf, 100, which)
     return search.capped_top(near, ["q"], ["label"], [F.desc("ann_score"), F.col("vec_id")], 5)
 
 
 @query(f"WITH {_CAPPED} SELECT q, vec_id, label, CAST(rank AS INT) AS rank, round(a, 6) AS ann_score FROM r WHERE rank <= 5")
 def ann_topk_capped(spark: SparkSession, sf: str) -> DataFrame:
     """Five nearest vectors with two of a label at most."""
-    return _capped(spark, sf).select("q", "vec_id", "label", "rank", F.round("ann_score", 6).alias("ann_score"))
+    return _capped_rows(_capped(spark, sf))
+
+
+def _capped_rows(capped: DataFrame) -> DataFrame:
+    return capped.select("q", "vec_id", "label", "rank", F.round("ann_score", 6).alias("ann_score"))
+
+
+@query()
+def ann_topk_capped_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """ann_topk_capped of every row whose id is divisible by 20."""
+    return _capped_rows(_capped(spark, sf, _WHOLE))
 
 
 @query(f"WITH {_CAPPED} SELECT q, CAST(rank AS INT) AS rank, CASE WHEN rank = 1 AND (a >= 2 OR (a >= 0.5 AND b >= 0.85)) THEN 'high' WHEN a >= -0.5 OR b >= 0.75 OR a >= 0 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN g IS NULL OR g >= 0.25 THEN 'high' WHEN g >= 0.1 THEN 'medium' ELSE 'low' END AS gap_confidence FROM (SELECT *, 1 - rank / 10.0 AS b, a - lead(a) OVER (PARTITION BY q ORDER BY rank) AS g FROM r WHERE rank <= 5)")
 def confidence_band(spark: SparkSession, sf: str) -> DataFrame:
     """Both kinds of confidence of the capped results."""
+    return _bands(_capped(spark, sf))
+
+
+@query()
+def confidence_band_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """confidence_band of every row whose id is divisible by 20."""
+    return _bands(_capped(spark, sf, _WHOLE))
+
+
+def _bands(capped: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     a = F.col("ann_score")
-    rows = _capped(spark, sf).withColumn("g", a - F.lead("ann_score").over(Window.partitionBy("q").orderBy("rank")))
+    rows = capped.withColumn("g", a - F.lead("ann_score").over(Window.partitionBy("q").orderBy("rank")))
     return rows.select("q", "rank", S.confidence_band(a, a, 1 - F.col("rank") / 10, F.col("rank")).alias("confidence"), S.gap_band(F.col("g")).alias("gap_confidence"))
 
 
 @query(f"WITH {_CAPPED}, h AS (SELECT q, min(rank) FILTER (WHERE rank <= 5 AND label = q_label AND vec_id <> q) AS k FROM r GROUP BY q) SELECT count(*) AS n, avg(CASE WHEN k <= 1 THEN 1.0 ELSE 0.0 END) AS recall_at_1, avg(CASE WHEN k <= 5 THEN 1.0 ELSE 0.0 END) AS recall_at_5, round(avg(coalesce(1.0 / k, 0.0)), 6) AS mrr FROM h")
 def recall_eval(spark: SparkSession, sf: str) -> DataFrame:
     """Recall and reciprocal rank where another vector of the query's label is a hit."""
-    r = _capped(spark, sf)
+    return _recall(_capped(spark, sf))
+
+
+@query()
+def recall_eval_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """recall_eval of every row whose id is divisible by 20."""
+    return _recall(_capped(spark, sf, _WHOLE))
+
+
+def _recall(r: DataFrame) -> DataFrame:
     first = r.groupBy("q").agg(F.min(F.when((F.col("label") == F.col("q_label")) & (F.col("vec_id") != F.col("q")), F.col("rank"))).alias("rank_episode"), F.lit(None).cast("int").alias("rank_cue"), F.lit("exact").alias("category"))
     return evaluate.recall(first).select("n", F.col("recall_at_1_episode").alias("recall_at_1"), F.col("recall_at_5_episode").alias("recall_at_5"), F.round("mrr_episode", 6).alias("mrr"))
 
@@ -463,10 +517,18 @@ d AS (SELECT config_id, q, vec_id, q_label, label, a, round(a + CASE WHEN vec_id
 SELECT config_id, avg(CASE WHEN k <= 5 THEN 1.0 ELSE 0.0 END) + 0.5 * avg(CASE WHEN k <= 1 THEN 1.0 ELSE 0.0 END) AS objective FROM f GROUP BY 1""")
 def guardrail_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Objective of each config of a small grid over candidates that are scored once."""
+    return _grid(spark, _near(spark, sf, 50))
+
+
+@query()
+def guardrail_grid_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """guardrail_grid of every row whose id is divisible by 20."""
+    return _grid(spark, _near(spark, sf, 50, _WHOLE))
+
+
+def _grid(spark: SparkSession, near: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    q, e = _vectors(spark, sf)
-    near = search.nearest(q, e, 50, "q", "qv", "vec_id", "embedding").join(e.select("vec_id", "label"), "vec_id").join(F.broadcast(q.select("q", "q_label")), "q")
     configs = evaluate.grid(spark, {"strict_miss_penalty": [2.0, 3.0, 4.0], "strict_strong_boost": [0.5, 0.75]})
     place = F.col("vec_id") % 4
     score, _ = S.guardrail(F.col("ann_score"), F.lit("strict"), F.lit(9), F.when(place == 0, 0).otherwise(1), F.when(place == 1, 1.0).otherwise(0.0), {k: F.col(k) for k in S.GuardrailConfig().columns()})
