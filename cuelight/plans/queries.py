@@ -560,16 +560,18 @@ def jaccard_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _eval_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """A line of the dialogue from each tenth conversation as a query that expects its episode."""
-    c = cue_rows(spark, sf).filter("pos = 1").select("show_id", "season", "episode", "text_clean").filter("episode % 10 = 3")
+    """Every line of each twentieth conversation, as a query that expects its episode and the line."""
+    c = cue_rows(spark, sf).filter("episode % 20 = 0")
     return c.select(
-        F.concat(F.lit("q"), "episode").alias("query_id"), F.substring("text_clean", 1, 40).alias("query"), F.concat_ws("_", "show_id", X.episode_label("season", "episode")).alias("expected_episode_id"), F.col("season").alias("expected_season"), F.col("episode").alias("expected_episode"),
-        F.substring("text_clean", 1, 20).alias("expected_cue_contains"), F.lit("partial").alias("category"), F.lit(None).cast("string").alias("notes"),
+        F.concat(F.lit("q"), "episode", F.lit("_"), "pos").alias("query_id"), F.col("text_clean").alias("query"), F.concat_ws("_", "show_id", X.episode_label("season", "episode")).alias("expected_episode_id"), F.col("season").alias("expected_season"), F.col("episode").alias("expected_episode"),
+        F.lower("text_raw").alias("expected_cue_contains"), F.lit("partial").alias("category"), F.lit(None).cast("string").alias("notes"),
     )
 
 
 def _index(spark: SparkSession, sf: str) -> DataFrame:
-    return index.build_index(chunk_rows(spark, sf), HashedEmbedder())
+    # chunk_id() takes season 0 for missing and repeats its ids there; cue_id() keeps them apart.
+    chunks = chunk_rows(spark, sf).withColumn("chunk_id", X.cue_id("show_id", "season", "episode", "cue_index"))
+    return index.build_index(chunks, HashedEmbedder())
 
 
 @query()

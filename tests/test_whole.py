@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from cuelight.functions import scoring as S
 from cuelight.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +47,31 @@ def test_capped_of_every_twentieth(spark):
     got = QUERIES["recall_eval_whole"](spark, SF).first()
     assert got.n == len(own) and abs(got.mrr - np.mean([1 / r if r else 0 for r in first.values()])) < 1e-6
     assert QUERIES["guardrail_grid_whole"](spark, SF).count() == 6
+
+
+def talk(spark, path, n):
+    """n conversations of three turns, two of them of two lines; the words of a turn say where it is only at its end."""
+    rows = [(c, k, "user", f"so this line opens like all other lines do here\nand then comes word{(7 * c + k) % 11} with <b>sign{c % 5}</b> at turn{k} of {c}") for c in range(n) for k in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return rows
+
+
+def test_queries_are_whole_lines_of_every_twentieth(spark, tmp_path):
+    clean = {f"q{c}_{k}": t.replace("<b>", "").replace("</b>", "").replace("\n", " ") for c, k, _, t in talk(spark, tmp_path, 13)}
+    want = {}
+    for q in ("q0_0", "q0_1", "q0_2"):
+        scores = sorted(((-S.partial_ratio_of(clean[q], t), i) for i, t in clean.items()))
+        want[q] = [-round(s / 100, 6) for s, _ in scores[:3]]
+    got = {}
+    for r in sorted(QUERIES["partial_ratio_topk"](spark, str(tmp_path)).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.fuzzy_score)
+    assert got == want
+    found = QUERIES["hybrid_search"](spark, str(tmp_path)).filter("rank = 1").collect()
+    assert {r.query_id for r in found} == set(want) and all(r.episode == 0 for r in found)
+
+
+def test_partial_ratios_in_blocks():
+    rng = np.random.default_rng(5)
+    text = lambda top: "".join(rng.choice(list("abc é"), rng.integers(0, top)))
+    pairs = [(text(9), text(17)) for _ in range(600)] + [(text(9), text(9)) for _ in range(600)]
+    assert S.partial_ratios(pairs) == [S.partial_ratio_of(*p) for p in pairs]
