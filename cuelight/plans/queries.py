@@ -349,6 +349,8 @@ def link_enrich(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Query vectors: the ten that the SQL names, and every row whose id is divisible by 20, which SQL by nested loops can't keep up with.
 _TEN, _WHOLE = "vec_id < 10", "vec_id % 20 = 0"
+#: The recall gate of the reference's search, its ann_top; SQL of ten queries has smaller ones.
+GATE = 200
 
 
 def _vectors(spark: SparkSession, sf: str, which: str = _TEN) -> tuple[DataFrame, DataFrame]:
@@ -399,7 +401,7 @@ def _near(spark: SparkSession, sf: str, n: int, which: str = _TEN) -> DataFrame:
 
 
 def _capped(spark: SparkSession, sf: str, which: str = _TEN) -> DataFrame:
-    near = _near(spark, sf, 100, which)
+    near = _near(spark, sf, 100 if which == _TEN else GATE, which)
     return search.capped_top(near, ["q"], ["label"], [F.desc("ann_score"), F.col("vec_id")], 5)
 
 
@@ -523,7 +525,7 @@ def guardrail_grid(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def guardrail_grid_whole(spark: SparkSession, sf: str) -> DataFrame:
     """guardrail_grid of every row whose id is divisible by 20."""
-    return _grid(spark, _near(spark, sf, 50, _WHOLE))
+    return _grid(spark, _near(spark, sf, GATE, _WHOLE))
 
 
 def _grid(spark: SparkSession, near: DataFrame) -> DataFrame:
@@ -577,14 +579,14 @@ def _index(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     """Ranked, formatted results: recall, reranking, guardrail, cap and confidence."""
-    out = search.search(_eval_queries(spark, sf), _index(spark, sf), HashedEmbedder(), OverlapReranker())
+    out = search.search(_eval_queries(spark, sf), _index(spark, sf), HashedEmbedder(), OverlapReranker(), n=GATE)
     return search.formatted(out)
 
 
 @query()
 def partial_ratio_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """Best fuzzy matches among each query's nearest chunks."""
-    scored = search.candidates(_eval_queries(spark, sf), _index(spark, sf), HashedEmbedder(), n=40)
+    """Best fuzzy matches among each query's GATE nearest chunks, as many as the reference scores."""
+    scored = search.candidates(_eval_queries(spark, sf), _index(spark, sf), HashedEmbedder(), n=GATE)
     return search.capped_top(scored, ["query_id"], ["chunk_id"], [F.desc("fuzzy_score"), F.col("chunk_id")], 3).select("query_id", "rank", "chunk_id", F.round("fuzzy_score", 6).alias("fuzzy_score"))
 
 
@@ -594,7 +596,7 @@ def search_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     q = _eval_queries(spark, sf)
     memory = q.select("query_id", F.array(F.reverse("query"), "query", F.upper("query")).alias("variants"))
     wide = evaluate.expand_queries(q, memory, 2)
-    found = search.search(wide, _index(spark, sf), HashedEmbedder(), n=30)
+    found = search.search(wide, _index(spark, sf), HashedEmbedder(), n=GATE)
     ranks = evaluate.hits(found, wide).join(wide.select("query_id", "variant_type"), "query_id")
     return evaluate.recall(ranks, ["variant_type"])
 
@@ -603,7 +605,7 @@ def search_evaluation(spark: SparkSession, sf: str) -> DataFrame:
 def guardrail_tuning(spark: SparkSession, sf: str) -> DataFrame:
     """The best guardrail configs of the quick grid."""
     q = _eval_queries(spark, sf)
-    scored = search.candidates(q, _index(spark, sf), HashedEmbedder(), n=50)
+    scored = search.candidates(q, _index(spark, sf), HashedEmbedder(), n=GATE)
     return evaluate.tune(scored, q, evaluate.grid(spark, evaluate.QUICK_GRID))
 
 

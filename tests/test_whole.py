@@ -38,7 +38,7 @@ def test_nearest_of_every_twentieth(spark):
 
 
 def test_capped_of_every_twentieth(spark):
-    want = sorted(capped(spark, 100))
+    want = sorted(capped(spark, 200))
     assert sorted((r.q, r.vec_id, r.label, r.rank) for r in QUERIES["ann_topk_capped_whole"](spark, SF).collect()) == want
     assert sorted((r.q, r["rank"]) for r in QUERIES["confidence_band_whole"](spark, SF).collect()) == sorted((q, r) for q, _, _, r in want)
     ids, labels, asked, _ = vectors(spark)
@@ -75,3 +75,20 @@ def test_partial_ratios_in_blocks():
     text = lambda top: "".join(rng.choice(list("abc é"), rng.integers(0, top)))
     pairs = [(text(9), text(17)) for _ in range(600)] + [(text(9), text(9)) for _ in range(600)]
     assert S.partial_ratios(pairs) == [S.partial_ratio_of(*p) for p in pairs]
+
+
+def test_gate_lets_other_labels_in(spark, tmp_path):
+    rows = [(i, [1 - i / 1000], 0 if i < 150 else i) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["ann_topk_capped_whole"](spark, str(tmp_path)).filter("q = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [0, 1, 150, 151, 152]
+
+
+def test_gate_lets_fuzzy_matches_in(spark, tmp_path):
+    said = "marmalade sandwiches every afternoon"
+    rows = [(0, 0, "user", said)] + [(1, k, "user", "marmalad3 sandwichs everi afternon") for k in range(2)]
+    rows += [(c, k, "user", f"every marmalade and {c} afternoon {k}") for c in range(2, 20) for k in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = sorted((round(S.partial_ratio_of(said, r[3]) / 100, 6) for r in rows), reverse=True)[:3]
+    got = QUERIES["partial_ratio_topk"](spark, str(tmp_path)).filter("query_id = 'q0_0'").orderBy("rank").collect()
+    assert [r.fuzzy_score for r in got] == want and want[1] > 0.8
