@@ -484,6 +484,11 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", head.alias("query")).withColumn("words", X.distinctive_tokens("query"))
 
 
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole benchmark items as queries."""
+    return table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query")).withColumn("words", X.distinctive_tokens("query"))
+
+
 @query(f"WITH {_WORDS} SELECT item_id, array_to_string(words, ' ') AS words, {_MODE} AS mode FROM w")
 def lexical_mode(spark: SparkSession, sf: str) -> DataFrame:
     """Distinctive tokens and mode of each query."""
@@ -514,6 +519,33 @@ def guardrail_no_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(spark, sf).withColumn("d", score).withColumn("note", note).groupBy("item_id").agg(F.count("*").alias("n_lines"), F.round(F.sum("d"), 6).alias("total"), F.count("note").alias("noted"))
 
 
+def _every_hit(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cue with every whole item."""
+    rows = cue_rows(spark, sf).select("episode", "pos", "text_clean").crossJoin(F.broadcast(_items(spark, sf)))
+    return rows.withColumns({"n": F.size("words"), "hits": X.token_hits("words", "text_clean"), "mode": X.lexical_mode("words")})
+
+
+@query()
+def token_hits_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Cues with words of a whole benchmark item."""
+    return _every_hit(spark, sf).filter("hits > 0").select("item_id", "episode", "pos", "hits")
+
+
+@query()
+def guardrail_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The guardrail's sums by whole benchmark item over all cues, with the operator's fuzzy score.
+
+    Pairs whose result doesn't depend on that score (mode off, or strict without a hit) don't reach the fuzzy match.
+    """
+    rows = _every_hit(spark, sf)
+    asks = (F.col("mode") == "soft") | ((F.col("mode") == "strict") & (F.col("hits") > 0))
+    fuzzy = S.line_fuzzy(X.clean_cue_text("query"), F.col("text_clean"))
+    keep = ["item_id", "mode", "n", "hits", "fuzzy"]
+    rows = rows.filter(asks).withColumn("fuzzy", fuzzy).select(keep).unionByName(rows.filter(~asks).withColumn("fuzzy", F.lit(0.0)).select(keep))
+    score, note = S.guardrail(F.lit(0.0), F.col("mode"), F.col("n"), F.col("hits"), F.col("fuzzy"), S.GuardrailConfig().columns())
+    return rows.withColumn("d", score).withColumn("note", note).groupBy("item_id").agg(F.count("*").alias("n_lines"), F.round(F.sum("d"), 6).alias("total"), F.count("note").alias("noted"))
+
+
 @query(f"""WITH {_SCORED}, t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY a DESC, vec_id) <= 50), g AS (SELECT CAST(k AS INT) AS config_id, p, b FROM (SELECT (i - 1) * 2 + j - 1 AS k, ([2.0, 3.0, 4.0])[i] AS p, ([0.5, 0.75])[j] AS b FROM range(1, 4) x(i), range(1, 3) y(j))),
 d AS (SELECT config_id, q, vec_id, q_label, label, a, round(a + CASE WHEN vec_id % 4 = 0 THEN -p WHEN vec_id % 4 = 1 THEN b ELSE 0 END, 9) AS z FROM t, g), r AS (SELECT *, row_number() OVER (PARTITION BY config_id, q ORDER BY z DESC, a DESC, vec_id) AS rank FROM d), f AS (SELECT config_id, q, min(rank) FILTER (WHERE label = q_label AND vec_id <> q AND rank <= 5) AS k FROM r GROUP BY 1, 2)
 SELECT config_id, avg(CASE WHEN k <= 5 THEN 1.0 ELSE 0.0 END) + 0.5 * avg(CASE WHEN k <= 1 THEN 1.0 ELSE 0.0 END) AS objective FROM f GROUP BY 1""")

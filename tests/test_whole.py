@@ -92,3 +92,29 @@ def test_gate_lets_fuzzy_matches_in(spark, tmp_path):
     want = sorted((round(S.partial_ratio_of(said, r[3]) / 100, 6) for r in rows), reverse=True)[:3]
     got = QUERIES["partial_ratio_topk"](spark, str(tmp_path)).filter("query_id = 'q0_0'").orderBy("rank").collect()
     assert [r.fuzzy_score for r in got] == want and want[1] > 0.8
+
+
+def items(spark, path):
+    """Items whose telling words come late, one strict, one soft and one without a mode."""
+    rows = [(0, "the and of zebra tune7"), (1, "violet crayon yonder meadow lantern harvest"), (2, "alpha beta gamma delta epsilon zeta eta theta iota kappa")]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    said = ["nothing here", "a zebra and tune7 at last", "kappa alone", "violet crayon yonder meadow lantern harvest", "the and of zebra tune7"]
+    lines = [(c, k, "user", said[(c + k) % 5]) for c in range(4) for k in range(3)]
+    spark.createDataFrame(lines, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return [["zebra", "tune7"], rows[1][1].split(), rows[2][1].split()], [t for _, t in rows], lines
+
+
+def test_hits_of_all_cues_and_whole_items(spark, tmp_path):
+    words, texts, lines = items(spark, tmp_path)
+    hits = {(i, c, k): sum(w in t for w in ws) for i, ws in enumerate(words) for c, k, _, t in lines}
+    got = QUERIES["token_hits_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r.item_id, r.episode, r.pos, r.hits) for r in got) == sorted((*key, n) for key, n in hits.items() if n)
+    want = {0: 0.0, 1: 0.0, 2: 0.0}
+    for (i, c, k), n in hits.items():
+        fuzzy = S.partial_ratio_of(texts[i], next(t for a, b, _, t in lines if (a, b) == (c, k))) / 100
+        if i == 0:
+            want[i] += -3.0 if n == 0 else 0.75 if fuzzy >= 0.9 else 0.25
+        if i == 1:
+            want[i] += 0.5 if fuzzy >= 0.85 else -1.0 if n == 0 and fuzzy < 0.4 else 0.0
+    found = {r.item_id: (r.n_lines, r.total) for r in QUERIES["guardrail_whole"](spark, str(tmp_path)).collect()}
+    assert found == {i: (len(lines), x) for i, x in want.items()}
