@@ -125,6 +125,14 @@ def speaker_extract(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", "turn", "s.speaker", "s.body")
 
 
+@query()
+def speaker_extract_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Speaker and words of every line of every turn, whose first line begins with the role; line_no from 0."""
+    text = F.concat(F.upper("role"), F.lit(": "), "text")
+    lines = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return lines.withColumn("s", X.speaker("line")).select("conv_id", "turn", "line_no", "s.speaker", "s.body")
+
+
 _DAY_MS = "(epoch_us(ts) % 86400000000) // 1000"
 
 
@@ -495,6 +503,12 @@ def lexical_mode(spark: SparkSession, sf: str) -> DataFrame:
     return _asked(spark, sf).select("item_id", F.array_join("words", " ").alias("words"), X.lexical_mode("words").alias("mode"))
 
 
+@query()
+def lexical_mode_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinctive tokens and mode of each whole item."""
+    return _items(spark, sf).select("item_id", F.array_join("words", " ").alias("words"), X.lexical_mode("words").alias("mode"))
+
+
 _HITS = f"{_WORDS}, {_CUES}, h AS (SELECT item_id, episode, pos, words, CAST(len(words) AS INT) AS n, CAST(len(list_filter(words, lambda t: contains(text_clean, t))) AS INT) AS hits FROM cues, w WHERE pos = 1)"
 
 
@@ -584,6 +598,13 @@ def typo_variants(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("item_id", (F.col("place") + 1).alias("place"), "variant")
 
 
+@query()
+def typo_variants_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Six typos of each whole item, neighbouring keys among them."""
+    rows = table(spark, sf, "benchmark").select("item_id", F.posexplode(evaluate.typo_variants("text", 6)).alias("place", "variant"))
+    return rows.select("item_id", (F.col("place") + 1).alias("place"), "variant")
+
+
 @query(f"""WITH b AS (SELECT item_id, list_distinct({_tokens('text')}) AS t FROM benchmark), d AS (SELECT doc_id, list_distinct({_tokens('text')}) AS t FROM documents)
 SELECT item_id, doc_id, round(len(list_intersect(b.t, d.t)) / (len(b.t) + len(d.t) - len(list_intersect(b.t, d.t))), 6) AS jaccard FROM b, (SELECT doc_id, t FROM d WHERE len(t) > 0) d WHERE len(list_intersect(b.t, d.t)) > 0""")
 def jaccard_tokens(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import numpy as np
 
 from cuelight.functions import scoring as S
+from cuelight.operators.evaluate import KEY_NEIGHBORS
 from cuelight.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -118,3 +119,32 @@ def test_hits_of_all_cues_and_whole_items(spark, tmp_path):
             want[i] += 0.5 if fuzzy >= 0.85 else -1.0 if n == 0 and fuzzy < 0.4 else 0.0
     found = {r.item_id: (r.n_lines, r.total) for r in QUERIES["guardrail_whole"](spark, str(tmp_path)).collect()}
     assert found == {i: (len(lines), x) for i, x in want.items()}
+
+
+def typos(q):
+    """The first six deletions, swaps and neighbouring keys by place, of a text in lower case with single blanks."""
+    out, seen = [], {q.strip()}
+    for i, ch in enumerate(q):
+        swap = [q[:i] + q[i + 1] + ch + q[i + 2 :]] if i + 1 < len(q) else []
+        for v in [q[:i] + q[i + 1 :], *swap, *(q[:i] + k + q[i + 1 :] for k in KEY_NEIGHBORS.get(ch, ""))]:
+            if v.strip() not in seen and len(v) >= 3 and len(out) < 6:
+                seen.add(v.strip())
+                out.append(v)
+    return out
+
+
+def test_typos_and_modes_of_whole_items(spark, tmp_path):
+    words, texts, _ = items(spark, tmp_path)
+    got = {}
+    for r in QUERIES["typo_variants_whole"](spark, str(tmp_path)).orderBy("item_id", "place").collect():
+        got.setdefault(r.item_id, []).append(r.variant)
+    assert got == {i: typos(t) for i, t in enumerate(texts)} and any(v.startswith("rhe") for v in got[0])
+    modes = sorted(tuple(r) for r in QUERIES["lexical_mode_whole"](spark, str(tmp_path)).select("item_id", "words", "mode").collect())
+    assert modes == [(i, " ".join(w), m) for i, (w, m) in enumerate(zip(words, ("strict", "soft", "off"), strict=True))]
+
+
+def test_speakers_of_every_line(spark, tmp_path):
+    rows = [(1, 0, "user", "hello\nLANA: what?\nno name"), (1, 1, "assistant", "one")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in QUERIES["speaker_extract_whole"](spark, str(tmp_path)).select("turn", "line_no", "speaker", "body").collect())
+    assert got == [(0, 0, "User", "hello"), (0, 1, "Lana", "what?"), (0, 2, None, "no name"), (1, 0, "Assistant", "one")]
