@@ -20,6 +20,26 @@ def bounded_sample(rows: DataFrame, key: Column, limit: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(limit / n * (1 << 30)))
 
 
+def sample_by(rows: DataFrame, key: Column, group: str, limit: int) -> tuple[DataFrame, list]:
+    """All rows, or about `limit` of them where there are more, and the sorted groups of all rows.
+
+    Groups share the limit evenly; what a small one leaves goes to the larger ones, so that it is taken whole. Rows
+    are chosen by hash of the key.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
+    room, chosen = limit, rows
+    bars: list[Column] = []
+    for k, (name, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        share = max(1, room // (len(counts) - k))
+        room -= min(n, share)
+        if n > share:
+            bars += [F.lit(name), F.lit(int(share / n * (1 << 30)))]
+    if bars:
+        bar = F.coalesce(F.try_element_at(F.create_map(*bars), F.col(group)), F.lit(1 << 30))
+        chosen = rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < bar)
+    return chosen, sorted(counts)
+
+
 def platt(margins: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     """Slope and offset of the logistic curve through (margin, label), by Newton steps with smoothed targets."""
     pos, neg = float(labels.sum()), float(len(labels) - labels.sum())

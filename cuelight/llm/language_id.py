@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelight.llm.common import chunks, lower_ascii, mix, text_bytes, word_spans
-from cuelight.llm.fitting import bounded_sample, held_out
+from cuelight.llm.fitting import held_out, sample_by
 
 #: Labelled documents that the model is fitted on at most.
 FIT_DOCS = 20_000
@@ -99,12 +99,12 @@ def _counter(languages: list[str]) -> Callable:
 
 
 def fit(docs: DataFrame, limit: int = FIT_DOCS) -> Model:
-    """A model from text and non-null lang of docs that aren't held out, about `limit` of them at most.
+    """A model from text and non-null lang of docs that aren't held out, about `limit` of them at most;
+    languages share these evenly, and one with few rows is taken whole.
 
     What comes to the driver are counts in a fixed number of buckets for each language.
     """
-    rows = bounded_sample(docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), F.col("doc_id"), limit)
-    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    rows, languages = sample_by(docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), F.col("doc_id"), "lang", limit)
     k = len(languages)
     grams, scripts = np.zeros(k * BUCKETS), np.zeros(k * len(NAMES))
     counts = rows.select("text", "lang").mapInArrow(_counter(languages), "kind string, slot long, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n"))

@@ -46,3 +46,13 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     both = language_report(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert sum(r.lang == r.lang_pred for r in both) > 0.98 * len(both)
+
+
+def test_rare_language_is_learned_whole(spark):
+    rare = [(90_000 + i, RU, "ru", "", 1) for i in range(5)]
+    common = [(i, f"{EN} {i}", "en", "", 1) for i in range(3000)] + [(10_000 + i, f"{DE} {i}", "de", "", 1) for i in range(3000)]
+    df = spark.createDataFrame([*common, *rare], SCHEMA)
+    model = fit(df, 60)
+    assert model.languages == ["de", "en", "ru"]
+    asked = spark.createDataFrame([(1, RU, None, "", 1)], SCHEMA)
+    assert [s.lang for s in identify(asked, model, True).first().spans] == ["ru"]
