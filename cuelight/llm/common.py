@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -30,6 +34,30 @@ def worker_state(key, make: Callable):
     return _WORKER_STATE[key]
 
 
+def release() -> None:
+    """Give memory that Python, Arrow and the C library hold but don't use back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(function: Callable) -> Callable:
+    """A function of batches for mapInArrow() that releases what it doesn't need when its last batch is through.
+
+    Workers outlive tasks and stages: what one keeps would add to the next one's peak.
+    """
+
+    @functools.wraps(function)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder in the place that the session names for all machines.
 
@@ -40,6 +68,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = have.get() if have.isDefined() else None
         if base is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             base = "file://" + tempfile.mkdtemp(prefix="cuelight-")
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -18,58 +18,116 @@ import os
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import chunks, shared_dir, worker_state, written
+from cuelight.llm.common import chunks, lean, shared_dir, worker_state, written
 
-PARTS = "path string, first_id long, n_docs long, n_tokens long"
+PARTS = "path string, first_id long, first_key long, n_docs long, n_tokens long"
+PART_NAMES = [x.split()[0] for x in PARTS.split(", ")]
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 NULL_ID = -(2**63)
 
-#: Words kept per worker with their ids, and the longest word kept; bounds memory, not results.
-CACHE_WORDS, CACHE_LENGTH = 800_000, 48
-#: str.split() breaks at these where the tokenizer does not.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
-_ASCII_SPACE = re.compile("[ \t\n\r\f\v]+")
+#: Bytes of words and ids that a worker keeps, and of words that it takes apart at a time; these bound memory, not results.
+CACHE_BYTES, STEP_BYTES = 24 << 20, 4 << 20
+#: Words handed to the tokenizer in one text, with a mark between them whose id no other word can have.
+JOINED, MARK = 100, "\x01"
+
+
+def _pick(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The spans of ids that begin at `starts` and hold `counts` of them, end to end."""
+    place = np.cumsum(counts) - counts
+    return ids[np.repeat(starts - place, counts) + np.arange(int(counts.sum()))]
 
 
 class WordEncoder:
     """Encodes through the tokenizers library, once per distinct word.
 
     Holds for vocabularies whose pre-tokenizer drops white space and never joins across it, so that a text's
-    ids are its words' ids in turn; `by_word=False` hands over whole texts for any other vocabulary.
+    ids are its words' ids in turn; `by_word=False` hands over whole texts for any other vocabulary. Words are split
+    at ASCII space alone: what other space a word holds is left to the tokenizer. Words, and which of them are known,
+    are told apart by Arrow's exact hash tables.
     """
 
     def __init__(self, path: str, dtype: str, by_word: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.by_word, self.known = Tokenizer.from_file(path), np.dtype(dtype), by_word, {}
+        self.tokenizer, self.dtype, self.by_word = Tokenizer.from_file(path), np.dtype(dtype), by_word
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.words, self.ids, self.starts, self.counts = pa.array([], pa.large_string()), np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each text, end to end, and how many each has."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.array([len(x) for x in got], np.int64)
+        return np.fromiter((i for x in got for i in x), self.dtype, int(counts.sum())), counts
+
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words, many in one text."""
+        ids, counts = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for k in range(0, len(words), JOINED):
+            some = words[k : k + JOINED]
+            if self.mark is not None and not any(MARK in w for w in some):
+                got = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+                cut = np.flatnonzero(got == self.mark)
+                if len(cut) == len(some) - 1:
+                    ids.append(got[got != self.mark].astype(self.dtype))
+                    counts.append(np.diff(np.concatenate([[-1], cut, [len(got)]])) - 1)
+                    continue
+            some_ids, some_counts = self._whole(some)
+            ids.append(some_ids)
+            counts.append(some_counts)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of these distinct words start in self.ids, and how many each has; new words are added."""
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(at))
+        at = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        if len(new):
+            ids, counts = self._new(new.to_pylist())
+            if self.words.nbytes + new.nbytes + 16 * len(self.words) + self.ids.nbytes > CACHE_BYTES:  # begin anew with the words at hand
+                have = at[at >= 0]
+                self.ids, self.counts = _pick(self.ids, self.starts[have], self.counts[have]), self.counts[have]
+                self.words, self.starts = words.filter(pa.array(at >= 0)), np.cumsum(self.counts) - self.counts
+                at[at >= 0] = np.arange(len(have))
+            at[at < 0] = len(self.words) + np.arange(len(new))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+            self.words = pa.concat_arrays([self.words, new])
+        return self.starts[at], self.counts[at]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each text of a string column, end to end, and how many each has; null has none."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        if not self.by_word:
+            return self._whole(texts.to_pylist())
+        split = pc.ascii_split_whitespace(texts)
+        words, ends = split.flatten(), np.diff(split.offsets.to_numpy()).cumsum()
+        ids, lengths = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        step = max(1, int(len(words) * STEP_BYTES / max(1, words.nbytes)))
+        for k in range(0, len(words), step):
+            coded = words.slice(k, step).dictionary_encode()
+            starts, counts = self._known(coded.dictionary)
+            which = coded.indices.to_numpy()
+            lengths.append(counts[which])
+            ids.append(_pick(self.ids, starts[which], lengths[-1]))
+        before = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+        return np.concatenate(ids), np.diff(before[np.concatenate([[0], ends])])
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array(self.dtype.char, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, packed."""
-        if not self.by_word:
-            return self._encode(texts)
-        words = [_ASCII_SPACE.split(t) if any(c in t for c in _SEPARATORS) else t.split() for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list(set().union(*words) - known.keys())
-        extra = {}
-        for w, ids in zip(new, self._encode(new), strict=True):
-            (known if len(w) <= CACHE_LENGTH else extra)[w] = ids
-        if extra:
-            return [b"".join([extra[w] if w in extra else known[w] for w in ws]) for ws in words]
-        return [b"".join([known[w] for w in ws]) for ws in words]
+def id_type(vocabulary: str, end_id: int) -> str:
+    """The least unsigned type that holds every id of the vocabulary and the end id."""
+    from tokenizers import Tokenizer
+
+    return "uint16" if max(Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else "uint32"
 
 
 def _local(path: str) -> str:
@@ -83,45 +141,48 @@ def _local(path: str) -> str:
 
 def _writer(folder: str, vocabulary: str, end_id: int, dtype: str, by_word: bool) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = worker_state(("tokens", vocabulary, dtype, by_word), lambda: WordEncoder(vocabulary, dtype, by_word)), np.array([end_id], dtype).tobytes()
+        encoder = worker_state(("tokens", vocabulary, dtype, by_word), lambda: WordEncoder(vocabulary, dtype, by_word))
         base = f"{_local(folder)}/part-{uuid.uuid4().hex}"
-        total, docs, first, width = 0, 0, None, np.dtype(dtype).itemsize
+        total, docs, first = 0, 0, None
         out = None
         try:
-            for batch in chunks(batches):
+            for batch in chunks(batches, limit=STEP_BYTES):
                 if out is None:
                     os.makedirs(_local(folder), exist_ok=True)
                     out = [open(f"{base}.{x}", "wb") for x in ("ids", "off", "doc")]  # noqa: SIM115
                     out[1].write(np.zeros(1, "<u8").tobytes())
+                    first = (batch.column("doc_id")[0].as_py(), batch.column("text_key")[0].as_py())
                 ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-                coded = [x + end for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
-                ends = total + np.cumsum([len(x) // width for x in coded], dtype=np.uint64)
-                out[0].write(b"".join(coded))
+                coded, counts = encoder.encode(batch.column("text"))
+                coded = np.insert(coded, np.cumsum(counts), end_id)
+                ends = total + np.cumsum(counts + 1, dtype=np.uint64)
+                out[0].write(coded.astype(np.dtype(dtype).newbyteorder("<")).tobytes())
                 out[1].write(ends.astype("<u8").tobytes())
                 out[2].write(ids.astype("<i8").tobytes())
-                first = int(ids[0]) if first is None else first
                 total, docs = int(ends[-1]), docs + len(ids)
         finally:
             for f in out or []:
                 f.close()
         if docs:
-            yield pa.RecordBatch.from_pydict({"path": [base], "first_id": [first], "n_docs": [docs], "n_tokens": [total]})
+            yield pa.RecordBatch.from_arrays([pa.array([base]), *(pa.array([x], pa.int64()) for x in (*first, docs, total))], names=PART_NAMES)
 
-    return write
+    return lean(write)
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, dtype: str = "uint16", by_word: bool = True) -> str:
+def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, dtype: str | None = None, by_word: bool = True) -> str:
     """Encode docs(doc_id, text) in ascending doc_id order to a dataset folder and return that folder.
 
     Null and empty texts are one end id; null doc_ids come first; rows that share a doc_id stay separate
-    documents, ordered by text; other columns are ignored; an empty table gives a manifest without parts.
+    documents, ordered by a hash of the text, and may lie in several parts; other columns are ignored; an empty table
+    gives a manifest without parts. `dtype` is the least type that holds the vocabulary unless given.
     """
     spark = docs.sparkSession
-    folder = folder or shared_dir(spark, "token-files")
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    folder, dtype = folder or shared_dir(spark, "token-files"), dtype or id_type(vocabulary, end_id)
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "text")
     parts = written(ordered.mapInArrow(_writer(folder, vocabulary, end_id, dtype, by_word), PARTS), "token-parts")
     base, listed = 0, []
-    for p in sorted(parts.collect(), key=lambda p: p.first_id):  # a row per output file
+    for p in sorted(parts.collect(), key=lambda p: (p.first_id is not None, p.first_id or 0, p.first_key)):  # a row per output file
         listed.append({"path": os.path.basename(p.path), "base": base, "n_docs": p.n_docs, "n_tokens": p.n_tokens})
         base += p.n_tokens
     _commit(spark, f"{folder}/MANIFEST.json", json.dumps({"dtype": dtype, "end_id": end_id, "n_tokens": base, "parts": listed}, indent=1))
@@ -161,7 +222,7 @@ def _read(dtype: str, folder: str, with_ids: bool) -> Callable:
                         out["ids"] = pa.array([t.tolist() for t in texts], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_pydict(out)
 
-    return read
+    return lean(read)
 
 
 def read_manifest(spark: SparkSession, folder: str) -> dict:
