@@ -33,8 +33,8 @@ PART_NAMES = [x.split()[0] for x in PARTS.split(", ")]
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 NULL_ID = -(2**63)
 
-#: Bytes of words and ids that a worker keeps, and of words that it takes apart at a time; these bound memory, not results.
-CACHE_BYTES, STEP_BYTES = 24 << 20, 4 << 20
+#: Bytes of words and ids that a worker keeps, and text and words that it takes apart at a time; these bound memory, not results.
+CACHE_BYTES, STEP_BYTES, STEP_WORDS = 64 << 20, 6 << 20, 1 << 20
 #: Words handed to the tokenizer in one text, with a mark between them whose id no other word can have.
 JOINED, MARK = 100, "\x01"
 
@@ -112,9 +112,8 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(texts)
         words, ends = split.flatten(), np.diff(split.offsets.to_numpy()).cumsum()
         ids, lengths = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
-        step = max(1, int(len(words) * STEP_BYTES / max(1, words.nbytes)))
-        for k in range(0, len(words), step):
-            coded = words.slice(k, step).dictionary_encode()
+        for k in range(0, len(words), STEP_WORDS):
+            coded = words.slice(k, STEP_WORDS).dictionary_encode()
             starts, counts = self._known(coded.dictionary)
             which = coded.indices.to_numpy()
             lengths.append(counts[which])
