@@ -1,17 +1,24 @@
 """Toxicity by compression distance: one zstandard dictionary from toxic and one from ordinary text.
 
-A window is a framed word after a fixed carrier phrase; training text is framed alike, so that a match may run over a
-word's ends. It is compressed with either dictionary; the bytes that the toxic one
-saves, with the window's length, put it into a bucket, once with a wide frame and once with a narrow one. How telling each bucket is comes from labelled documents: a
-regularised logistic model over the buckets' counts is the calibrated threshold of the decision.
-
-Toxic text for training is what remains of toxic documents without the words that ordinary documents use about as
-often, as both dictionaries hold ordinary text anyway.
+A window is a framed word, with the digits and marks inside it, after a fixed carrier phrase; training text is framed
+alike, so that a match may run over a word's ends. It is compressed with the ordinary dictionary and with the toxic
+one, which share nothing. What the toxic one saves, with the window's length, puts it into a bucket, once with a wide
+frame and once with a narrow one. Labelled documents calibrate the threshold: a regularised logistic model over the
+buckets' counts.
+
+The ordinary dictionary is trained on whole ordinary documents, the toxic one on what remains of toxic documents
+without the words that ordinary documents use about as often. Trained on whole toxic documents, which are ordinary
+text for the most part, both dictionaries hold nearly the same: README has the figures.
+
+Bounds, all of the fit alone: FIT_DOCS documents of either class and FIT_BYTES of text come to the driver, chosen by
+hash of the doc_id; SAMPLE_BYTES of them, in order of that hash, train the ordinary dictionary; dictionaries have
+ORDINARY_BYTES and TOXIC_BYTES. Scores cover every word of every text.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -20,33 +27,36 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cuelight.llm.common import chunks, worker_state
+from cuelight.llm.common import chunks, lean, worker_state
 from cuelight.llm.fitting import bounded_sample, held_out
 
 #: Labelled documents of either class that the model is fitted on at most, and their text in all.
 FIT_DOCS, FIT_BYTES = 6000, 24 << 20
-ORDINARY_BYTES, TOXIC_BYTES = 24 << 10, 4 << 10
+ORDINARY_BYTES, TOXIC_BYTES = 24 << 10, 12 << 10
 #: Ordinary text that its dictionary is trained on at most, some hundred times the dictionary's size.
 SAMPLE_BYTES = 4 << 20
-#: A toxic word is in so many toxic documents, as a share and at least, and so much likelier there.
+#: Words that stay in toxic training text are in so many toxic documents, as a share and at least, and so much likelier there.
 TOXIC_SHARE, TOXIC_LEAST, TOXIC_ODDS = 0.012, 3, 8.0
+#: Words before each window and before training text's own; those that most ordinary documents use.
+CARRIED = 12
 WINDOW_BYTES = 48
 LEVEL = 12
-MAX_GAIN, MAX_LENGTH = 9, 14
-N_BUCKETS = (MAX_GAIN + 2) * (MAX_LENGTH + 1)
-#: Words kept per worker with their buckets; bounds memory, not results.
-CACHE_WORDS = 400_000
+MIN_GAIN, MAX_GAIN, MAX_LENGTH = -6, 9, 14
+N_BUCKETS = (MAX_GAIN - MIN_GAIN + 1) * (MAX_LENGTH + 1)
+#: Bytes of words kept per worker with their buckets, and what one takes besides its letters; bounds memory, not results.
+CACHE_BYTES, WORD_BYTES = 32 << 20, 170
 
 #: Marks around each word, in windows as in training text. Wide ones favour whole words, narrow ones beginnings.
 FRAMES = ((b"<<<<", b">>>>"), (b"<<", b">>"))
-RIDGE = 0.3
+RIDGE = 0.1
 
-_WORDS = re.compile(rb"[a-z\x80-\xff]+")
+_WORDS = re.compile(rb"[a-z0-9\x80-\xff](?:[^\s]*[a-z0-9\x80-\xff])?")
 
 
 def windows(text: str | None) -> list[bytes]:
-    """Lower-cased words of a whole text, long ones in pieces."""
+    """Lower-cased words of a whole text, from their first to their last letter or digit; long ones in pieces."""
     words = _WORDS.findall((text or "").encode().lower())
     if any(len(w) > WINDOW_BYTES for w in words):
         return [w[i : i + WINDOW_BYTES] for w in words for i in range(0, len(w), WINDOW_BYTES)]
@@ -78,7 +88,8 @@ class Buckets:
             return zstandard.ZstdCompressor(dict_data=trained, compression_params=params).compress
 
         self.known: dict[bytes, int] = {}
-        self.frames = [(carrier + left, right, compressor(ordinary), compressor(ordinary + toxic)) for (left, right), (ordinary, toxic, carrier) in zip(FRAMES, model.dictionaries, strict=True)]
+        self.held = 0
+        self.frames = [(carrier + left, right, compressor(ordinary), compressor(toxic)) for (left, right), (ordinary, toxic, carrier) in zip(FRAMES, model.dictionaries, strict=True)]
 
     def bucket(self, w: bytes) -> int:
         """Buckets of a window under all frames, as one number."""
@@ -86,20 +97,22 @@ class Buckets:
         for before, after, ordinary, toxic in self.frames:
             window = before + w + after
             gain = len(ordinary(window)) - len(toxic(window))
-            code = code * N_BUCKETS + (min(MAX_GAIN, max(-1, gain)) + 1) * (MAX_LENGTH + 1) + min(MAX_LENGTH, len(w))
+            code = code * N_BUCKETS + (min(MAX_GAIN, max(MIN_GAIN, gain)) - MIN_GAIN) * (MAX_LENGTH + 1) + min(MAX_LENGTH, len(w))
         return code
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(text, bucket) counts, frame by frame, and the number of windows of each text."""
         known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
         rows, codes = [], []
         for text in texts:
             ws = windows(text)
+            if self.held > CACHE_BYTES:
+                known.clear()
+                self.held = 0
             for w in ws:
                 if w not in known:
                     known[w] = self.bucket(w)
+                    self.held += len(w) + WORD_BYTES
             rows.append(len(ws))
             codes += [known[w] for w in ws]
         n = np.array(rows, np.int64)
@@ -108,7 +121,7 @@ class Buckets:
             code, own = np.divmod(code, N_BUCKETS)
             at = np.repeat(np.arange(len(texts)) * N_BUCKETS, n) + own
             out.append(np.bincount(at, minlength=len(texts) * N_BUCKETS).reshape(len(texts), N_BUCKETS))
-        return np.concatenate(out, 1), n
+        return np.concatenate(out[::-1], 1), n
 
 
 def features(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -117,15 +130,16 @@ def features(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
+    """Content that zstandard picks from the samples; all of them where they fit, or their end if there is no choice."""
     import zstandard
 
     whole = b"".join(samples)
     if len(whole) <= size or len(samples) < 8:
-        return whole[:size]
+        return whole[-size:]
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()[-(size - 1024) :]
+        return zstandard.train_dictionary(size, samples).as_bytes()[-(size - 1024) :]  # without its entropy tables
     except zstandard.ZstdError:  # too little variety to train on
-        return whole[:size]
+        return whole[-size:]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 25) -> np.ndarray:
@@ -156,8 +170,7 @@ def fit_texts(texts: list[str | None], labels: np.ndarray) -> Model:
     n = [max(1, sum(1 for ws, y in zip(words, labels.tolist(), strict=True) if ws and y == k)) for k in (0, 1)]
     odds = lambda w: (used[1][w] + 0.5) / (n[1] + 1) / ((used[0][w] + 0.5) / (n[0] + 1))
     telling = {w for w, c in used[1].items() if c >= max(TOXIC_LEAST, TOXIC_SHARE * n[1]) and odds(w) > TOXIC_ODDS}
-    carried = [w for w, _ in sorted(used[0].items(), key=lambda x: (-x[1], x[0]))[:12]]
-    listed = sorted(telling, key=lambda w: (used[1][w], w))  # the end of a dictionary is the cheapest to refer to
+    carried = [w for w, _ in sorted(used[0].items(), key=lambda x: (-x[1], x[0]))[:CARRIED]]
     dictionaries = []
     for left, right in FRAMES:
         sentence = lambda ws, left=left, right=right: b"".join(left + w + right for w in ws)
@@ -168,9 +181,9 @@ def fit_texts(texts: list[str | None], labels: np.ndarray) -> Model:
             elif ws and room > 0:
                 ordinary.append(sentence(ws))
                 room -= len(ordinary[-1])
-        trained = _dictionary([x for x in toxic if x] * 8, TOXIC_BYTES)
         carrier = sentence(carried)
-        dictionaries.append((_dictionary(ordinary, ORDINARY_BYTES) + carrier, trained + sentence(listed)[-TOXIC_BYTES:], carrier))
+        trained = (_dictionary(ordinary, ORDINARY_BYTES), _dictionary([x for x in toxic if x] * 8, TOXIC_BYTES))  # repeats: the trainer wants more text than words need
+        dictionaries.append((*(x + carrier for x in trained), carrier))
     model = Model(dictionaries)
     del words, one, used, seen
     if len(set(labels.tolist())) < 2:
@@ -193,38 +206,45 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS, limit_bytes:
     size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > limit_bytes:
         chosen = chosen.filter(F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(1 << 30)) < int(limit_bytes / size * (1 << 30)))
-    got = sorted(chosen.select("doc_id", "text", "toxic").collect(), key=lambda r: (r.doc_id, r.text or ""))
+    got = sorted(chosen.select("doc_id", "text", "toxic").collect(), key=lambda r: (zlib.crc32(f"fit:{r.doc_id}".encode()), r.doc_id, r.text or ""))
     return fit_texts([r.text for r in got], np.array([r.toxic for r in got], int))
 
 
-def _scorer(shared, key: int) -> Callable:
+def _scorer(shared, key: int, name: str | None, threshold: float) -> Callable:
+    """Batches with the score as column `name`, or only their rows that score below the threshold."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         buckets = worker_state(("toxicity", key), lambda: Buckets(model))
         for batch in chunks(batches):
             x = features(*buckets.counts(batch.column("text").to_pylist())) @ model.weights
-            out = {c: batch.column(c) for c in batch.schema.names}
-            yield pa.RecordBatch.from_pydict(out | {"_toxicity": pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))})
+            p = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+            yield batch.filter(pa.array(p < threshold)) if name is None else pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
 
-    return score
+    return lean(score)
 
 
-def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with _toxicity, the probability that a whole text is toxic.
+def score_toxicity(docs: DataFrame, model: Model, name: str = "_toxicity") -> DataFrame:
+    """docs with column `name`, the probability that a whole text is toxic; it replaces one of that name.
 
-    Null and empty texts have no windows and get the score of that; repeated rows score alike; other columns stay.
+    Null and empty texts have no windows and get the score of that; repeated rows score alike; other columns stay; an
+    empty table stays so.
     """
-    from pyspark.sql import types as T
-
-    docs = docs.drop("_toxicity")
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in docs.schema.fields], T.StructField("_toxicity", T.DoubleType())])
-    return docs.mapInArrow(_scorer(shared, model.key()), schema)
+    return docs.mapInArrow(_scorer(shared, model.key(), name, 0), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs that score below the threshold under a model of the labels."""
-    return score_toxicity(docs, fit(docs, labels)).filter(F.col("_toxicity") < threshold).select(docs.columns)
+    """The rows of docs that score below the threshold under a model of the labels, with all their columns as they are.
+
+    Null and empty texts stay unless the model finds texts without words toxic; rows with a null doc_id and rows that
+    share one are judged by their own text; repeated rows stay or go together; extra columns may have any name; an
+    empty table, or one without labels, loses nothing.
+    """
+    model = fit(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_scorer(shared, model.key(), None, threshold), docs.schema)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -29,11 +29,38 @@ def test_held_out_and_cases(spark):
     assert all(got[i].predicted == y for i, _, y in rows if got[i].held_out)
     assert got[1003].predicted == 1 and not any(got[k].predicted for k in (1000, 1001, 1002, None))
     kept = drop_toxic(docs, labels)
-    assert kept.columns == docs.columns and kept.count() == sum(1 for r in got.values() if not r.predicted)
+    assert kept.schema == docs.schema and {r._toxicity for r in kept.collect()} == {"clash"} and kept.count() == sum(1 for r in got.values() if not r.predicted)
     assert toxicity_report(docs.limit(0), labels).count() == 0
     assert {r.predicted for r in toxicity_report(docs, labels.limit(0)).collect()} == {0}
 
 
+def test_buckets_are_lengths():
+    """Buckets against compressors built anew for each window, with the two dictionaries apart."""
+    import zstandard
+
+    from cuelight.llm import toxicity as X
+
+    rows = data()
+    model = fit_texts([t for _, t, _ in rows], np.array([y for _, _, y in rows]))
+    texts = [rows[0][1], "1d10t a$$hat grobian", "", None, "lonar, (mitel)!"]
+    counts, n = Buckets(model).counts(texts)
+    assert n.tolist() == [40, 3, 0, 0, 2] and windows(texts[1]) == [b"1d10t", b"a$$hat", b"grobian"]
+    want = np.zeros_like(counts)
+    for r, text in enumerate(texts):
+        for w in windows(text):
+            for f, ((left, right), (ordinary, toxic, carrier)) in enumerate(zip(X.FRAMES, model.dictionaries, strict=True)):
+                sizes = []
+                for content in (ordinary, toxic):
+                    params = zstandard.ZstdCompressionParameters.from_level(X.LEVEL, source_size=128, dict_size=len(content), min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
+                    kept = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                    kept.precompute_compress(compression_params=params)
+                    sizes.append(len(zstandard.ZstdCompressor(dict_data=kept, compression_params=params).compress(carrier + left + w + right)))
+                gain = max(X.MIN_GAIN, min(X.MAX_GAIN, sizes[0] - sizes[1])) - X.MIN_GAIN
+                want[r, f * X.N_BUCKETS + gain * (X.MAX_LENGTH + 1) + min(X.MAX_LENGTH, len(w))] += 1
+    assert (counts == want).all()
+    assert all(b"lonar" not in toxic.split(carrier)[0] for _, toxic, carrier in model.dictionaries)
+
+
 def test_windows_cover_long_words():
     assert b"".join(windows("Ab" * 100)) == b"ab" * 100
 
