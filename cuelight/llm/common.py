@@ -58,6 +58,14 @@ def lean(function: Callable) -> Callable:
     return run
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, made longer until df has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder in the place that the session names for all machines.
 

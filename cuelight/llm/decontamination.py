@@ -8,6 +8,7 @@ shorter than the window count as one window of their own length.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelight.llm.common import chunks, lower_ascii, prefix_hash, span_hash, text_bytes, word_spans, written
+from cuelight.llm.common import chunks, free_name, lean, lower_ascii, prefix_hash, span_hash, text_bytes, word_spans, worker_state, written
 
 WINDOW = 10
 #: Words of items in one automaton: what a worker holds at once. More items are passed over in further rounds.
@@ -190,21 +191,48 @@ def _merged(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def _marker(block) -> Callable:
+#: Names of the columns that mark_contamination() adds: words, spans and items.
+MARKS = ("_dc_words", "_dc_spans", "_dc_items")
+
+
+def _cut(text: str, spans: list[int], starts: np.ndarray, ends: np.ndarray) -> str:
+    """The text without the words of its spans; starts and ends are those of its words, in bytes."""
+    raw, kept, done = text.encode(), [], 0
+    for b, e in zip(spans[::2], spans[1::2], strict=True):
+        kept.append(raw[done : int(starts[b])])
+        done = int(ends[e - 1])
+    return b"".join([*kept, raw[done:]]).decode()
+
+
+def _marker(block, key: str, names: tuple[str, str, str], max_coverage: float | None) -> Callable:
+    """Adds a block's findings to those of the columns `names`; with `max_coverage` returns what is left of the rows instead."""
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = None
+        scanner = worker_state(("benchmark", key), lambda: Scanner(*block.value))
         for batch in chunks(batches):
-            scanner = scanner or Scanner(*block.value)
-            _, _, _, first, words = normalised_words(batch.column("text"))
+            at, starts, ends, first, words = normalised_words(batch.column("text"))
             spans, items = _rows(scanner.scan(first, words), first)
-            before = batch.column("_dc_spans").to_pylist(), batch.column("_dc_items").to_pylist()
+            before = batch.column(names[1]).to_pylist(), batch.column(names[2]).to_pylist()
             spans = [_merged(a or [], b) for a, b in zip(before[0], spans, strict=True)]
-            items = [sorted({*(a or []), *(scanner.ids[k] for k in b)}) for a, b in zip(before[1], items, strict=True)]
-            out = {c: batch.column(c) for c in batch.schema.names}
-            out |= {"_dc_words": pa.array(np.diff(first), pa.int64()), "_dc_spans": pa.array(spans, pa.list_(pa.int32())), "_dc_items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_pydict(out)
+            total = np.diff(first)
+            own, columns = batch.schema.names[:-3], batch.columns[:-3]
+            if max_coverage is None:
+                items = [sorted({*(a or []), *(scanner.ids[k] for k in b)}) for a, b in zip(before[1], items, strict=True)]
+                found = [pa.array(total, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*columns, *found], names=[*own, *names])
+                continue
+            hit = np.array([sum(s[1::2]) - sum(s[::2]) for s in spans], np.int64)
+            keep = hit <= max_coverage * total
+            dirty = np.flatnonzero(keep & (hit > 0)).tolist()
+            if dirty:
+                texts = batch.column("text").to_pylist()
+                for r in dirty:
+                    its = slice(int(first[r]), int(first[r + 1]))
+                    texts[r] = _cut(texts[r], spans[r], starts[its] - at[r], ends[its] - at[r])
+                columns = [pa.array(texts, pa.string()) if c == "text" else x for c, x in zip(own, columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=own).filter(pa.array(keep))
 
-    return mark
+    return lean(mark)
 
 
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list[str], list[np.ndarray]]]:
@@ -223,50 +251,43 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list[str], list[
     yield ids, items
 
 
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, names: tuple[str, str, str], max_coverage: float | None) -> DataFrame:
+    """A pass over docs for each block of items; the last one cuts if `max_coverage` is given."""
+    types = T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in [*docs.schema.fields, *map(T.StructField, names, types)]])
+    empty = F.lit(0), F.array(), F.array()
+    out = docs.select("*", *(e.cast(t).alias(n) for e, t, n in zip(empty, types, names, strict=True)))
+    blocks = _blocks(benchmark, block_words)
+    block = next(blocks)
+    while block is not None:
+        ids, items = block
+        block = next(blocks, None)
+        shared = docs.sparkSession.sparkContext.broadcast((ids, items, window))
+        if block is None and max_coverage is not None:
+            return out.mapInArrow(_marker(shared, uuid.uuid4().hex, names, max_coverage), docs.schema)
+        out = out.mapInArrow(_marker(shared, uuid.uuid4().hex, names, None), schema)
+        out = out if block is None else written(out, "marked")
+    return out
+
+
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with _dc_words, _dc_spans (flat first and end words of contaminated runs) and _dc_items (sorted distinct item_ids).
 
     Null and empty texts have no words; null and empty items have no windows; a null item_id reads "null"; items
     that share an item_id count once. Rows that share a doc_id are scanned one by one, other columns stay, but for
-    the three names. Item text may be of any size: beyond `block_words` the documents are passed over again.
+    those of the three names. Item text may be of any size: beyond `block_words` the documents are passed over again.
     """
-    keep = [c for c in docs.columns if c not in ("_dc_words", "_dc_spans", "_dc_items")]
-    fields = [*docs.select(keep).schema.fields, T.StructField("_dc_words", T.LongType()), T.StructField("_dc_spans", T.ArrayType(T.IntegerType())), T.StructField("_dc_items", T.ArrayType(T.StringType()))]
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
-    out = docs.select(*keep, F.lit(0).cast("long").alias("_dc_words"), F.array().cast("array<int>").alias("_dc_spans"), F.array().cast("array<string>").alias("_dc_items"))
-    for k, (ids, items) in enumerate(_blocks(benchmark, block_words)):
-        out = written(out, "marked") if k else out
-        block = docs.sparkSession.sparkContext.broadcast((ids, items, window))
-        out = out.mapInArrow(_marker(block), schema)
-    return out
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        at, starts, ends, first, _ = normalised_words(batch.column("text"))
-        texts = batch.column("text").to_pylist()
-        for r, spans in enumerate(batch.column("_dc_spans").to_pylist()):
-            if spans:
-                raw, w, zero = texts[r].encode(), int(first[r]), int(at[r])
-                kept, done = [], 0
-                for b, e in zip(spans[::2], spans[1::2], strict=True):
-                    kept.append(raw[done : int(starts[w + b]) - zero])
-                    done = int(ends[w + e - 1]) - zero
-                texts[r] = b"".join([*kept, raw[done:]]).decode()
-        out = {c: batch.column(c) for c in batch.schema.names}
-        yield pa.RecordBatch.from_pydict(out | {"text": pa.array(texts, pa.string())})
+    return _passes(docs.drop(*MARKS), benchmark, window, block_words, MARKS, None)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without contaminated spans; documents with more than `max_coverage` of their words in spans go.
 
     What stands between words stays, so that the text around a span is untouched, and clean rows pass as they
-    are, null texts too. See mark_contamination() for the other cases.
+    are, null texts too. Extra columns may have any name. See mark_contamination() for the other cases.
     """
-    marked = mark_contamination(docs, benchmark, window)
-    hit = F.aggregate(F.sequence(F.lit(0), F.size("_dc_spans").cast("int"), F.lit(2)), F.lit(0), lambda acc, k: acc + F.coalesce(F.get("_dc_spans", k + 1) - F.get("_dc_spans", k), F.lit(0)))
-    kept = marked.filter(hit <= F.lit(max_coverage) * F.col("_dc_words"))
-    return kept.mapInArrow(_cut, kept.schema).select(docs.columns)
+    words, spans, items = (free_name(docs, n) for n in MARKS)
+    return _passes(docs, benchmark, window, block_words, (words, spans, items), max_coverage)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -20,6 +20,20 @@ def bounded_sample(rows: DataFrame, key: Column, limit: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(limit / n * (1 << 30)))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, mark: str, limit: int, limit_bytes: int) -> DataFrame:
+    """(doc_id, text, mark) of labelled documents that aren't held out, about `limit` of either class at most, chosen by hash.
+
+    Beyond `limit_bytes` of text in all, fewer are chosen. Nulls and values other than 0 and 1 are no labels.
+    """
+    marked = labels.filter(~held_out(F.col("doc_id")) & F.col(mark).isin(0, 1)).select("doc_id", F.col(mark).cast("int").alias(mark))
+    rows = [bounded_sample(marked.filter(F.col(mark) == k), F.col("doc_id"), limit) for k in (0, 1)]
+    chosen = docs.select("doc_id", "text").join(F.broadcast(rows[0].unionByName(rows[1]).dropDuplicates(["doc_id"])), "doc_id")  # the sample is bounded
+    size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > limit_bytes:
+        chosen = chosen.filter(F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(1 << 30)) < int(limit_bytes / size * (1 << 30)))
+    return chosen
+
+
 def sample_by(rows: DataFrame, key: Column, group: str, limit: int) -> tuple[DataFrame, list]:
     """All rows, or about `limit` of them where there are more, and the sorted groups of all rows.
 

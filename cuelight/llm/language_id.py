@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import chunks, lower_ascii, mix, text_bytes, word_spans
+from cuelight.llm.common import CHUNK_BYTES, chunks, lean, lower_ascii, mix, text_bytes, word_spans
 from cuelight.llm.fitting import held_out, sample_by
 
 #: Labelled documents that the model is fitted on at most.
@@ -27,18 +27,25 @@ SWITCH = 12.0
 SCRIPT_SHARE = 0.02
 
 UND = "und"
-#: Script by first UTF-8 byte of a word's first letter beyond ASCII; Latin where there is none.
-#: Two-byte leads C3-CA and E1 are Latin, CD-CF Greek, D0-D4 Cyrillic, D5-D6 Armenian and Hebrew, D7 Hebrew,
-#: D8-DD Arabic and kin, E0 Indic and Thai, E2 signs, E3-E9 kana and ideographs, EA-ED Hangul and kin, F0 and on the rest.
-SCRIPTS = [("latin", 0xC2, 0xCC), ("greek", 0xCD, 0xCF), ("cyrillic", 0xD0, 0xD4), ("hebrew", 0xD5, 0xD7), ("arabic", 0xD8, 0xDF), ("indic", 0xE0, 0xE0), ("latin", 0xE1, 0xE2), ("cjk", 0xE3, 0xE9), ("hangul", 0xEA, 0xED), ("other", 0xEE, 0xFF)]
-NAMES = list(dict.fromkeys(s for s, _, _ in SCRIPTS))
+#: Scripts by first code point of each range, up to the next one's. A word's script is that of its first
+#: character beyond ASCII, Latin where there is none; signs and marks that many scripts share count as Latin.
+RANGES = """
+latin 0000; greek 0370; cyrillic 0400; armenian 0530; hebrew 0590; arabic 0600; syriac 0700; arabic 0750; thaana 0780; other 07C0;
+arabic 0870; devanagari 0900; bengali 0980; gurmukhi 0A00; gujarati 0A80; oriya 0B00; tamil 0B80; telugu 0C00; kannada 0C80;
+malayalam 0D00; sinhala 0D80; thai 0E00; lao 0E80; tibetan 0F00; burmese 1000; georgian 10A0; hangul 1100; ethiopic 1200;
+cherokee 13A0; other 1400; khmer 1780; mongolian 1800; other 18B0; khmer 19E0; other 1A00; cyrillic 1C80; georgian 1C90; other 1CC0; latin 1D00;
+greek 1F00; latin 2000; other 2C00; latin 2C60; other 2C80; georgian 2D00; other 2D30; ethiopic 2D80; cyrillic 2DE0; latin 2E00; han 2E80; latin 3000;
+kana 3040; han 3100; hangul 3130; han 3190; kana 31F0; han 3200; other A000; cyrillic A640; other A6A0; latin A700; other A800; hangul A960;
+other A980; ethiopic AB00; latin AB30; other AB70; hangul AC00; other D800; han F900; latin FB00; armenian FB13; hebrew FB1D; arabic FB50;
+latin FE00; arabic FE70; latin FEFF; kana FF66; hangul FFA0; latin FFE0; other 10000; kana 1B000; other 1B170; latin 1F000; han 20000; other 40000
+"""
+_FIRST = np.array([int(x.split()[1], 16) for x in RANGES.split(";")])
+NAMES = list(dict.fromkeys(x.split()[0] for x in RANGES.split(";")))
+_OF_RANGE = np.array([NAMES.index(x.split()[0]) for x in RANGES.split(";")], np.int16)
 
 _LOWER = lower_ascii()
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-_SCRIPT = np.zeros(256, np.int8)
-for _name, _low, _high in SCRIPTS:
-    _SCRIPT[_low : _high + 1] = NAMES.index(_name)
 
 
 @dataclass(frozen=True)
@@ -60,27 +67,35 @@ def _trigrams(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return (mix((left << np.uint64(16)) | (low.astype(np.uint64) << np.uint64(8)) | right) >> np.uint64(48)).astype(np.int64)
 
 
+def _code_points(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points of the characters beyond ASCII that begin at these bytes."""
+    byte = lambda k: raw[np.minimum(at + k, len(raw) - 1)].astype(np.int64) & 0x3F
+    lead = raw[at].astype(np.int64)
+    two = (lead & 0x1F) << 6 | byte(1)
+    three = (lead & 0x0F) << 12 | byte(1) << 6 | byte(2)
+    four = (lead & 0x07) << 18 | byte(1) << 12 | byte(2) << 6 | byte(3)
+    return np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four))
+
+
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes, word starts, ends, words before each row, script of each word."""
     raw, at = text_bytes(column)
     low = _LOWER[raw]
     starts, ends, first = word_spans(low, at, _LETTER)
-    script = np.zeros(len(starts), np.int8)
+    script = np.zeros(len(starts), np.int16)
     if len(starts):
         beyond = np.flatnonzero(low >= 0xC2)
         hit = np.searchsorted(beyond, starts)
         ok = hit < len(beyond)
         where = beyond[np.minimum(hit, max(0, len(beyond) - 1))] if len(beyond) else np.zeros(len(starts), np.int64)
         ok &= where < ends
-        script[ok] = _SCRIPT[low[where[ok]]]
+        script[ok] = _OF_RANGE[np.searchsorted(_FIRST, _code_points(low, where[ok]), "right") - 1]
     return low, starts, ends, first, script
 
 
 def _counter(languages: list[str]) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {x: k for k, x in enumerate(languages)}
-        grams = np.zeros(len(languages) * BUCKETS, np.int64)
-        scripts = np.zeros(len(languages) * len(NAMES), np.int64)
         for batch in chunks(batches):
             low, starts, ends, first, script = _words(batch.column("text"))
             if not len(starts):
@@ -89,24 +104,26 @@ def _counter(languages: list[str]) -> Callable:
             of_word = np.repeat(lang, np.diff(first))
             of_byte = np.repeat(of_word, ends - starts)
             inside = np.repeat(starts - np.concatenate([[0], np.cumsum(ends - starts)[:-1]]), ends - starts) + np.arange(len(of_byte))
-            grams += np.bincount(of_byte * BUCKETS + _trigrams(low, starts, ends)[inside], minlength=len(grams))
-            scripts += np.bincount(of_word * len(NAMES) + script, minlength=len(scripts))
-        for kind, counts in (("gram", grams), ("script", scripts)):
-            slots = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(slots), pa.string()), "slot": pa.array(slots, pa.int64()), "n": pa.array(counts[slots], pa.int64())})
+            grams = np.unique(of_byte * BUCKETS + _trigrams(low, starts, ends)[inside], return_counts=True)
+            scripts = np.unique(of_word * len(NAMES) + script, return_counts=True)
+            for kind, (slots, n) in (("gram", grams), ("script", scripts)):
+                yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(slots), pa.string()), "slot": pa.array(slots, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    return count
+    return lean(count)
 
 
 def fit(docs: DataFrame, limit: int = FIT_DOCS) -> Model:
     """A model from text and non-null lang of docs that aren't held out, about `limit` of them at most;
     languages share these evenly, and one with few rows is taken whole.
 
-    What comes to the driver are counts in a fixed number of buckets for each language.
+    What comes to the driver are counts in a fixed number of buckets for each language; a model of L languages takes
+    256 KB each there and in a worker. There may be 32,767 of them at most; more raise an error.
     """
     rows, languages = sample_by(docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), F.col("doc_id"), "lang", limit)
     k = len(languages)
-    grams, scripts = np.zeros(k * BUCKETS), np.zeros(k * len(NAMES))
+    if k >= 1 << 15:
+        raise ValueError(f"{k} languages; {(1 << 15) - 1} at most can be told apart")
+    grams, scripts = np.zeros(k * BUCKETS, np.float32), np.zeros(k * len(NAMES))
     counts = rows.select("text", "lang").mapInArrow(_counter(languages), "kind string, slot long, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n"))
     if k:
         got = counts.toArrow()
@@ -139,7 +156,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     largest sum of gains over neighbouring words. All other rows advance together, a word of each at a step.
     """
     n, k = scores.shape
-    path = np.zeros(n, np.int8)
+    path = np.zeros(n, np.int16)
     if k < 2 or not n:
         return path
     sums = np.concatenate([np.zeros((1, k)), np.cumsum(scores, 0, dtype=np.float64)])
@@ -168,7 +185,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     sizes, begin = (first[1:] - first[:-1])[rows], first[:-1][rows]
     steps = int(sizes[0])
     active = np.searchsorted(-sizes, -np.arange(steps), "left")
-    back = np.full((n, k), -1, np.int8)
+    back = np.full((n, k), -1, np.int16)
     value = scores[begin].astype(np.float64)
     for t in range(1, steps):
         m = int(active[t])
@@ -196,16 +213,17 @@ def _has_letter(text: str | None) -> bool:
 def _labeller(model: Model, with_spans: bool) -> Callable:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.languages)
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=max(1 << 14, CHUNK_BYTES * 8 // max(8, k))):  # scores are words by languages
             low, starts, ends, first, script = _words(batch.column("text"))
             n = batch.num_rows
             names, scores = [UND] * n, np.zeros(n)
-            path = np.zeros(len(starts), np.int8)
+            path = np.zeros(len(starts), np.int16)
             if k and len(starts):
                 path = viterbi(word_scores(model, low, starts, ends, script), first)
                 row = np.repeat(np.arange(n), np.diff(first))
-                letters = np.bincount(row * k + path, ends - starts, minlength=n * k).reshape(n, k)
-                top, total = letters.argmax(1), letters.sum(1)
+                told = model.writes[script].any(1)  # words in scripts that some language writes
+                letters = np.bincount(row * k + path, (ends - starts) * told, minlength=n * k).reshape(n, k)
+                top, total = letters.argmax(1), np.bincount(row, ends - starts, minlength=n)
                 ascii_letter = np.bincount(row, ((low[starts] < 0x80) | (low[ends - 1] < 0x80)), minlength=n) > 0
                 texts = None
                 for r in np.flatnonzero(total).tolist():
@@ -220,7 +238,7 @@ def _labeller(model: Model, with_spans: bool) -> Callable:
                 out["spans"] = pa.array([_spans(path[a:b], model.languages) for a, b in zip(first[:-1], first[1:], strict=True)], pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())])))
             yield pa.RecordBatch.from_pydict(out)
 
-    return label
+    return lean(label)
 
 
 def _spans(path: np.ndarray, languages: list[str]) -> list[dict]:
@@ -234,8 +252,8 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
     """Per row of docs(doc_id, text): doc_id, lang_pred and score, the share of letters in spans of lang_pred.
 
     `with_spans` adds the labelled spans, in words (runs of letters). Null texts and texts without a letter are
-    'und' with score 0, and so is everything where no language was learned. A text in a script that no learned
-    language writes gets the first language. Repeated rows are labelled alike; other columns are ignored.
+    'und' with score 0, and so is everything where no language was learned. Words in scripts that
+    no learned language writes count for no language, so that a text of them alone gets the first language with score 0. Repeated rows are labelled alike; other columns are ignored.
     """
     spans = ", spans array<struct<lang: string, first_word: int, n_words: int>>"
     return docs.select("doc_id", "text").mapInArrow(_labeller(model, with_spans), "doc_id long, lang_pred string, score double" + spans * with_spans)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import chunks, lower_ascii, mix, not_space, prefix_hash, span_hash, split_by_sketch, text_bytes, word_spans, written
+from cuelight.llm.common import chunks, lean, lower_ascii, mix, not_space, prefix_hash, span_hash, split_by_sketch, text_bytes, word_spans, written
 from cuelight.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
@@ -88,9 +88,10 @@ def _sets(size: int, percent: int) -> Callable:
                 low.append(s[:keep].tobytes())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "h1": pa.array(h1, pa.int64()), "h2": pa.array(h2, pa.int64()), "low": pa.array(low, pa.binary())})
 
-    return build
+    return lean(build)
 
 
+@lean
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tokens = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint64)
@@ -163,7 +164,7 @@ def _emitter(shared, percent: int, boundary: int, heavies: bool) -> Callable:
                     table |= {"n": pa.array(np.concatenate(out[2]), pa.int32()), "hv": pa.array(np.concatenate(out[3]), pa.int32()), "last": pa.array(np.concatenate(out[4]), pa.int64()), "kind": pa.array(np.concatenate(out[5]), pa.int8())}
                 yield pa.RecordBatch.from_pydict(table)
 
-    return emit
+    return lean(emit)
 
 
 #: Rows of lists: a candidate pair, or (hub) a set of a list that is too long to pair.
@@ -206,7 +207,7 @@ def _lists(percent: int, list_max: int) -> Callable:
                 cols = [pa.array(uid[a]), pa.array(uid[b]), pa.array(n[a], pa.int32()), pa.array(n[b], pa.int32()), pa.array(np.minimum(hv[a], hv[b]), pa.int32()), pa.array(side, pa.int32()), pa.array(c, pa.int32()), pa.array(np.zeros(len(a), bool))]
                 yield pa.RecordBatch.from_arrays(cols, schema=_SCHEMA)
 
-    return pair
+    return lean(pair)
 
 
 _SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("hv", pa.int32()), ("side", pa.int32()), ("c", pa.int32()), ("hub", pa.bool_())])
@@ -307,7 +308,7 @@ def _verifier(percent: int) -> Callable:
         close()
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b", "k"])
 
-    return verify
+    return lean(verify)
 
 
 def _full_sets(size: int) -> Callable:
@@ -318,7 +319,7 @@ def _full_sets(size: int) -> Callable:
                 tokens.append(s.tobytes() if _signature(s) == (a, b) else None)  # another text of the same doc_id
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("cluster", "uid", "parts")} | {"tokens": pa.array(tokens, pa.binary())})
 
-    return build
+    return lean(build)
 
 
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:

@@ -1,8 +1,8 @@
 """Quality classifier: Naive Bayes support vectors.
 
 Indicators of hashed n-grams are scaled by their class log-count ratios and a linear hinge-loss model is fitted to
-them by dual coordinate descent. Two kinds of n-grams: byte trigrams of the whole text, case kept, and n-grams of
-shape symbols, where each word is written as its case and marks and as whether the text had it before. Shape n-grams
+them by dual coordinate descent. Three kinds of n-grams: byte trigrams of the whole text, case kept, words and pairs of
+words, and n-grams of shape symbols, where each word is written as its case and marks and as whether the text had it before. Shape n-grams
 also stand for their share of the text, in steps of 2, so that a habit counts apart from a single use.
 """
 
@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelight.llm.common import chunks, mix, not_space, prefix_hash, span_hash, text_bytes, word_spans
-from cuelight.llm.fitting import bounded_sample, held_out, logistic, platt
+from cuelight.llm.common import chunks, lean, mix, not_space, prefix_hash, span_hash, text_bytes, word_spans
+from cuelight.llm.fitting import held_out, labelled, logistic, platt
 
 #: Labelled documents of either class that the model is fitted on at most.
 FIT_DOCS = 5000
-BITS = 17
+#: Text of these documents at most; beyond it fewer of them are taken.
+FIT_BYTES = 24 << 20
+BITS = 18
 COST, ROUNDS = 1.0, 30
 
 _WORD = not_space()
@@ -72,6 +74,9 @@ def indicators(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         shape = (np.where(upper > 1, 2, upper) + 3 * np.minimum(marks, 3) + 12 * (digit > 0) + 24 * (lower > 0)).astype(np.uint64)
         repeat = (again.astype(np.uint64) + twin).astype(np.uint64)
         count = np.maximum(1, np.diff(first))
+        pairs.append(row << BITS | _hashed(words, 50))
+        same = row[1:] == row[:-1]
+        pairs.append(row[1:][same] << BITS | _hashed(mix(words[:-1][same]) + words[1:][same], 51))
         streams = [(shape, 1), (repeat, 4)]
         for symbols, kind in streams:
             gram = symbols
@@ -81,7 +86,6 @@ def indicators(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                 m = len(gram)
                 if m <= 0:
                     break
-                same = row[:m] == row[n - m :] if order_n else np.ones(m, bool)
                 same = row[:m] == row[order_n : order_n + m]
                 key = row[:m][same] << BITS | _hashed(gram[same], kind + order_n)
                 there, times = np.unique(key, return_counts=True)
@@ -97,9 +101,10 @@ def indicators(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """A weight for each bucket (log-count ratio times hinge weight), the offset and the calibration curve."""
+    """A weight for each bucket (log-count ratio times hinge weight), the ratios' squares, the offset and the calibration curve."""
 
     weights: np.ndarray
+    squares: np.ndarray
     bias: float
     curve: tuple[float, float]
 
@@ -130,7 +135,13 @@ def dual_descent(index: list[np.ndarray], values: list[np.ndarray], y: np.ndarra
     return w, b
 
 
-def _train(index: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
+def margins(rows: np.ndarray, buckets: np.ndarray, n: int, weights: np.ndarray, squares: np.ndarray, bias: float) -> np.ndarray:
+    """Margins of n documents' vectors of scaled indicators, each of unit length as in training; without n-grams the offset."""
+    norm = np.sqrt(np.bincount(rows, squares[buckets], minlength=n))
+    return np.bincount(rows, weights[buckets], minlength=n) / np.maximum(1e-9, norm) + bias
+
+
+def _train(index: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     size = 1 << BITS
     count = {k: np.ones(size) for k in (-1, 1)}
     for f, k in zip(index, y.tolist(), strict=True):
@@ -141,7 +152,7 @@ def _train(index: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
         v = ratio[f]
         values.append(v / max(1e-9, np.sqrt(v @ v)))
     w, b = dual_descent(index, values, y, size)
-    return w * ratio, b
+    return w * ratio, ratio**2, b
 
 
 def fit_indicators(index: list[np.ndarray], labels: np.ndarray) -> Model:
@@ -149,20 +160,20 @@ def fit_indicators(index: list[np.ndarray], labels: np.ndarray) -> Model:
     size = 1 << BITS
     y = np.where(labels > 0, 1, -1)
     if len(set(y.tolist())) < 2:
-        return Model(np.zeros(size), 0.0, (1.0, 4.0 if (y > 0).any() else -4.0))
+        return Model(np.zeros(size), np.zeros(size), 0.0, (1.0, 4.0 if (y > 0).any() else -4.0))
     left = np.zeros(len(y))
     folds = np.random.default_rng(0).integers(0, 3, len(y))
     for k in range(3):
         train = [i for i in range(len(y)) if folds[i] != k]
         if len({int(y[i]) for i in train}) < 2:
             continue
-        w, b = _train([index[i] for i in train], y[train])
+        fitted = _train([index[i] for i in train], y[train])
         for i in np.flatnonzero(folds == k):
-            left[i] = w[index[i]].sum() / np.sqrt(max(1, len(index[i]))) + b
-    w, b = _train(index, y)
-    return Model(w, b, platt(left, (y > 0).astype(float)))
+            left[i] = margins(np.zeros(len(index[i]), np.int64), index[i], 1, *fitted)[0]
+    return Model(*_train(index, y), platt(left, (y > 0).astype(float)))
 
 
+@lean
 def _indexer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         rows, buckets = indicators(batch.column("text"))
@@ -171,11 +182,9 @@ def _indexer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "buckets": pa.array(packed, pa.binary())})
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS, limit_bytes: int = FIT_BYTES) -> Model:
     """A model from labels.quality of documents that aren't held out, about `limit` of either class at most."""
-    marked = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    rows = [bounded_sample(marked.filter(F.col("quality") == k), F.col("doc_id"), limit) for k in (0, 1)]
-    chosen = docs.select("doc_id", "text").join(F.broadcast(rows[0].unionByName(rows[1]).dropDuplicates(["doc_id"])), "doc_id")  # the sample is bounded
+    chosen = labelled(docs, labels, "quality", limit, limit_bytes)
     got = sorted(chosen.mapInArrow(_indexer, "doc_id long, quality int, buckets binary").collect(), key=lambda r: (r.doc_id, bytes(r.buckets)))
     return fit_indicators([np.frombuffer(r.buckets, "<i4") for r in got], np.array([r.quality for r in got], int))
 
@@ -186,12 +195,10 @@ def _scorer(shared) -> Callable:
         for batch in chunks(batches):
             rows, buckets = indicators(batch.column("text"))
             n = batch.num_rows
-            size = np.maximum(1, np.bincount(rows, minlength=n))
-            margin = np.bincount(rows, model.weights[buckets], minlength=n) / np.sqrt(size) + model.bias  # vectors have about unit length
-            out = {c: batch.column(c) for c in batch.schema.names}
-            yield pa.RecordBatch.from_pydict(out | {"_quality": pa.array(logistic(margin, model.curve))})
+            margin = margins(rows, buckets, n, model.weights, model.squares, model.bias)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logistic(margin, model.curve))], names=[*batch.schema.names, "_quality"])
 
-    return score
+    return lean(score)
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import chunks, prefix_hash, span_hash, split_by_sketch, text_bytes, written
+from cuelight.llm.common import chunks, lean, prefix_hash, span_hash, split_by_sketch, text_bytes, written
 from cuelight.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 24
@@ -106,7 +106,7 @@ def _run_rows(unique: bool) -> Callable:
             if len(later):
                 yield _merged(ids[later], twin[later], start[later], n[later])
 
-    return runs
+    return lean(runs)
 
 
 def _settle(hot: int) -> Callable:
@@ -137,7 +137,7 @@ def _settle(hot: int) -> Callable:
         if len(edge):
             yield _batch(kinds, key[edge], content[edge], ids[edge], twin[edge], start[edge], n[edge], off[edge])
 
-    return settle
+    return lean(settle)
 
 
 def _fetch(unique: bool) -> Callable:
@@ -174,7 +174,7 @@ def _fetch(unique: bool) -> Callable:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:5]), pa.array(out[5], pa.binary())], names=["key", "id", "twin", "start", "n", "bytes"])
 
-    return fetch
+    return lean(fetch)
 
 
 def shard_repeats(texts: list[bytes], ids: np.ndarray, twin: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +197,7 @@ def shard_repeats(texts: list[bytes], ids: np.ndarray, twin: np.ndarray, start:
     return run[sa[later]], inside[sa[later]]
 
 
+@lean
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeats among runs of the same key; rows come sorted by key and groups share suffix arrays up to SHARD_BYTES."""
     held: list[tuple] = []
@@ -254,7 +255,7 @@ def _digest(unique: bool, with_kept: bool) -> Callable:
             keep = 6 if with_kept else 5
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out[:keep], types[:keep], strict=True)], names=names[:keep])
 
-    return digest
+    return lean(digest)
 
 
 def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuelight.llm.common import chunks, lean, worker_state
-from cuelight.llm.fitting import bounded_sample, held_out
+from cuelight.llm.fitting import held_out, labelled
 
 #: Labelled documents of either class that the model is fitted on at most, and their text in all.
 FIT_DOCS, FIT_BYTES = 6000, 24 << 20
@@ -200,12 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS, limit_bytes:
 
     At most about `limit` documents of either class, and `limit_bytes` of text, come to the driver.
     """
-    marked = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    rows = [bounded_sample(marked.filter(F.col("toxic") == k), F.col("doc_id"), limit) for k in (0, 1)]
-    chosen = docs.select("doc_id", "text").join(F.broadcast(rows[0].unionByName(rows[1]).dropDuplicates(["doc_id"])), "doc_id")  # the sample is bounded
-    size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > limit_bytes:
-        chosen = chosen.filter(F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(1 << 30)) < int(limit_bytes / size * (1 << 30)))
+    chosen = labelled(docs, labels, "toxic", limit, limit_bytes)
     got = sorted(chosen.select("doc_id", "text", "toxic").collect(), key=lambda r: (zlib.crc32(f"fit:{r.doc_id}".encode()), r.doc_id, r.text or ""))
     return fit_texts([r.text for r in got], np.array([r.toxic for r in got], int))
 

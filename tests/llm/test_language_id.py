@@ -1,10 +1,11 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cuelight.llm.language_id import fit, identify, language_report, viterbi
+from cuelight.llm.language_id import NAMES, _words, fit, identify, language_report, viterbi
 
 SCHEMA = "doc_id long, text string, lang string, score string, spans int"
 EN, DE, RU = "the house and the garden with that thing", "das haus und der garten mit einem schönen tag", "дом и сад с этим человеком"
@@ -56,3 +57,29 @@ def test_rare_language_is_learned_whole(spark):
     assert model.languages == ["de", "en", "ru"]
     asked = spark.createDataFrame([(1, RU, None, "", 1)], SCHEMA)
     assert [s.lang for s in identify(asked, model, True).first().spans] == ["ru"]
+
+
+def test_more_languages_than_a_byte_holds(spark):
+    """140 languages, each of a few words of its own: those beyond the 128th are learned too."""
+    rng = np.random.default_rng(7)
+    own = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(8)) for _ in range(140)]
+    text = lambda i: own[i]
+    rows = [(i * 10 + j, f"{text(i)} {text(i)}", f"l{i:03d}", "", 1) for i in range(140) for j in range(4)]
+    got = language_report(spark.createDataFrame(rows, SCHEMA)).collect()
+    right = [r.lang_pred == f"l{r.doc_id // 10:03d}" for r in got if r.doc_id >= 1280]
+    assert len(right) == 48 and sum(right) >= 46
+
+
+def test_unknown_script_has_no_score(spark):
+    df = spark.createDataFrame(rows(), SCHEMA)
+    asked = spark.createDataFrame([(1, "漢字 漢字", None, "", 1), (2, "ქართული ენა", None, "", 1), (3, f"{EN} 漢字漢字漢字漢字", None, "", 1)], SCHEMA)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(asked, fit(df)).collect()}
+    assert got[1][1] == got[2][1] == 0.0 and got[1][0] in ("de", "en", "ru")
+    assert got[3][0] == "en" and 0 < got[3][1] < 1
+
+
+def test_scripts_by_code_point():
+    want = {"latin": "straße ǆ ḁ “quoted” plain", "greek": "λόγος ὀδός", "cyrillic": "дом ꙁ", "georgian": "ქართული", "khmer": "ខ្មែរ", "ethiopic": "አማርኛ", "burmese": "မြန်မာ", "arabic": "عربي ݐ ﻋ", "han": "漢字 𠀀", "kana": "かな カナ ｶﾅ", "hangul": "한글 ᄀ", "hebrew": "עברית", "thai": "ไทย", "armenian": "հայ", "devanagari": "हिन्दी"}
+    for name, text in want.items():
+        script = _words(pa.array([text]))[4]
+        assert len(script) and {NAMES[k] for k in script.tolist()} == {name}, name

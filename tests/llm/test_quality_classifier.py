@@ -3,7 +3,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from cuelight.llm.fitting import held_out
-from cuelight.llm.quality_classifier import dual_descent, fit_indicators, indicators, quality_report
+from cuelight.llm.quality_classifier import _train, dual_descent, fit_indicators, indicators, margins, quality_report
 
 DOCS = "doc_id long, text string, quality string, _quality string"
 
@@ -26,6 +26,27 @@ def test_indicators_do_not_cross_rows():
     assert [buckets[rows == k].tolist() for k in range(4)] == alone and alone[1] == alone[3] == []
 
 
+def test_margins_are_those_of_the_fitted_vectors():
+    """Scoring against the plain statement: unit vectors of log-count ratios, weighed and shifted."""
+    texts = ["good plain words", "good plain lines here", "BAD!! BAD!! CHEAP", "CHEAP!! BAD!!", "", "never seen 123"]
+    at, buckets = indicators(pa.array(texts))
+    each = [buckets[at == k] for k in range(len(texts))]
+    y = np.array([1, 1, -1, -1])
+    weights, squares, bias = _train(each[:4], y)
+    seen = {k: {} for k in (1, -1)}
+    for f, k in zip(each, y.tolist(), strict=False):
+        for x in f.tolist():
+            seen[k][x] = seen[k].get(x, 0) + 1
+    size = len(weights)
+    total = {k: size + sum(seen[k].values()) for k in seen}
+    ratio = lambda x: np.log((1 + seen[1].get(x, 0)) / total[1]) - np.log((1 + seen[-1].get(x, 0)) / total[-1])
+    got = margins(at, buckets, len(texts), weights, squares, bias)
+    vectors = [np.array([ratio(x) for x in f.tolist()]) for f in each]
+    unit = [v / np.sqrt(v @ v) if len(v) else v for v in vectors]
+    inner, b = dual_descent(each[:4], unit[:4], y, size)
+    assert np.allclose(got, [inner[f] @ u + b if len(f) else b for f, u in zip(each, unit, strict=True)])
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (pq.read_table(f"/root/testdata/sf0.1/{t}.parquet").to_pandas() for t in ("documents", "labels"))
     rows = docs.merge(labels, on="doc_id").head(2000)
@@ -34,7 +55,7 @@ def test_held_out_accuracy(spark):
     at, buckets = indicators(pa.array(rows.text))
     each = np.split(buckets, np.searchsorted(at, np.arange(1, len(rows))))
     model = fit_indicators([f for f, o in zip(each, out, strict=True) if not o], rows.quality[~out].to_numpy())
-    margin = np.array([model.weights[f].sum() / np.sqrt(max(1, len(f))) + model.bias for f in each])[out]
+    margin = margins(at, buckets, len(rows), model.weights, model.squares, model.bias)[out]
     good = model.curve[0] * margin + model.curve[1] > np.log(0.3 / 0.7)
     assert (good == (rows.quality[out] == 1)).mean() > 0.97
 
