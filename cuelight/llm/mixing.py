@@ -4,6 +4,9 @@ Slot i of the schedule has the point frac((i + 1) * golden ratio); the source wh
 target weights holds the point owns the slot. A source's slots, ranked, take its blocks of equal word count in
 turn. Blocks are cut from the source's documents in hash order and are taken again from the first one when all
 are used, until the source's target is reached; the last slot of a source takes a part of its block.
+
+A source's blocks are equal, but a small source has smaller ones. Its interval is its share of all slots, so that
+every part of the schedule holds the same share of each source's words.
 """
 
 from __future__ import annotations
@@ -13,8 +16,8 @@ from pyspark.sql import functions as F
 
 from cuelight.llm.common import WORD, written
 
-#: Words in a block, and at least so many blocks for the smallest target so that small inputs mix evenly too.
-BLOCK_WORDS = 512
+#: Words in a source's block at most, and blocks that a source's target has at least, so that small ones mix evenly too.
+BLOCK_WORDS, LEAST_BLOCKS = 512, 200
 #: Documents, or slots, that one task orders at a time.
 BUCKET_ROWS = 8192
 #: No document is taken more often.
@@ -68,8 +71,8 @@ def running_start(df: DataFrame, keys: list[str], order: list[Column], bucket: C
 def mixed_schedule(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Sizes per row, targets per source, slots of the schedule and pieces of documents, for docs(doc_id, text, source).
 
-    Sizes: (doc_id, source, size, _text, _key), the last two hashes of text and id. Targets: (sid, source, source_size, weight, target, words, block). Slots: (slot,
-    sid, rank, n_words, block_id), in training order. Pieces: (sid, block_id, doc_id, size, _text, at, begin, end),
+    Sizes: (doc_id, source, size, _text, _key), the last two hashes of text and id. Targets: (sid, source, source_size, weight, target, words, block, n). Slots: (slot,
+    sid, rank, n_words, block_id), in training order. Pieces: (sid, block, block_id, doc_id, size, _text, at, begin, end),
     the words of a document that a block holds; `at` is the document's first word in its source.
     Null texts and texts without words have size 0 and are in no block. Rows that share a doc_id are documents
     of their own. Other columns of docs are ignored. An empty table has no sources and no slots.
@@ -80,41 +83,42 @@ def mixed_schedule(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int =
     sized = written(sized.withColumn("_key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")), "mix-sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     head = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy(F.lit(0)))
-    targets = targets.withColumn("sid", head).withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(least / 200))).cast("long"))
-    targets = written(targets.withColumn("words", F.round("target").cast("long")), "mix-targets")
-    seen = targets.agg(F.sum("words").alias("words"), F.max("block").alias("block"), F.count("*").alias("n")).first()
-    if not seen.words:
+    targets = targets.withColumn("sid", head).withColumn("words", F.round("target").cast("long"))
+    targets = targets.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("target") / LEAST_BLOCKS))).cast("long"))
+    turns, rest = F.floor(F.col("words") / F.greatest(F.lit(1), F.col("source_size"))), F.col("words") % F.greatest(F.lit(1), F.col("source_size"))
+    targets = written(targets.withColumn("n", (turns * F.ceil(F.col("source_size") / F.col("block")) + F.ceil(rest / F.col("block"))).cast("long")), "mix-targets")
+    seen = targets.agg(F.sum("n").alias("slots"), F.count("*").alias("n")).first()
+    if not seen.slots:
         slots = spark.createDataFrame([], "slot long, sid int, rank long, n_words long, block_id long")
-        return sized, targets, slots, spark.createDataFrame([], "sid int, block_id long, doc_id long, size long, _text long, at long, begin long, end long")
-    block, n_sources, n_docs = seen.block, seen.n, sized.count()
+        return sized, targets, slots, spark.createDataFrame([], "sid int, block long, block_id long, doc_id long, size long, _text long, at long, begin long, end long")
+    n_sources, n_docs = seen.n, sized.count()
 
     # Documents in hash order, end to end within their source, cut into blocks.
     n_buckets = max(1, -(-n_docs // BUCKET_ROWS))
-    placed = sized.join(targets.select("source", "sid", "source_size"), sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    placed = sized.join(targets.select("source", "sid", "block"), sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     placed = running_start(placed.filter("size > 0"), ["sid"], [F.col("_key"), F.col("doc_id"), F.col("_text")], F.shiftright(F.shiftright("_key", 30) * n_buckets, 30), F.col("size"), "at")
-    pieces = placed.select("sid", "doc_id", "size", "_text", "at", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block_id"))
+    block = F.col("block")
+    pieces = placed.select("sid", "block", "doc_id", "size", "_text", "at", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block_id"))
     into = F.col("at") - F.col("block_id") * block
-    pieces = pieces.select("sid", "block_id", "doc_id", "size", "_text", "at", F.greatest(into, F.lit(0)).alias("begin"), F.least(into + F.col("size"), F.lit(block)).alias("end"))
+    pieces = pieces.select("sid", "block", "block_id", "doc_id", "size", "_text", "at", F.greatest(into, F.lit(0)).alias("begin"), F.least(into + F.col("size"), block).alias("end"))
 
     # Slots: rather more than needed, as a source's share of a low-discrepancy sequence is off by a few slots.
     by = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
-    bounds = targets.filter("words > 0").select("*", (F.coalesce(F.sum("words").over(by), F.lit(0)) / F.lit(seen.words)).alias("low"))
-    bounds = bounds.withColumn("high", F.col("low") + F.col("words") / F.lit(seen.words))
+    bounds = targets.filter("n > 0").select("*", (F.coalesce(F.sum("n").over(by), F.lit(0)) / F.lit(seen.slots)).alias("low"))
+    bounds = bounds.withColumn("high", F.col("low") + F.col("n") / F.lit(seen.slots))
     cells = max(64, 2 * n_sources)
-    spread = bounds.select("sid", "low", "high", "words", "source_size", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1)))).alias("cell"))
-    n_slots = -(-seen.words // block)
-    n_slots = int(n_slots * 1.02) + 40 * n_sources + 64
+    spread = bounds.select("sid", "low", "high", "words", "source_size", "block", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1)))).alias("cell"))
+    n_slots = int(seen.slots * 1.02) + 40 * n_sources + 64
     golden = (F.col("slot").cast("decimal(20,0)") + 1) * F.lit("0.618033988749894848").cast("decimal(18,18)")
     point = (golden - F.floor(golden)).cast("double")
     slots = spark.range(n_slots).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("cell", F.floor(F.col("point") * cells))
     slots = slots.join(spread, "cell").filter("point >= low AND point < high")
-    slots = running_start(slots.select("slot", "sid", "words", "source_size"), ["sid"], [F.col("slot")], F.floor(F.col("slot") / BUCKET_ROWS), F.lit(1), "rank")
+    slots = running_start(slots.select("slot", "sid", "words", "source_size", "block"), ["sid"], [F.col("slot")], F.floor(F.col("slot") / BUCKET_ROWS), F.lit(1), "rank")
     n_blocks = F.ceil(F.col("source_size") / block)
     turn = F.floor(F.col("rank") / n_blocks)
     inner = F.col("rank") % n_blocks
     used = turn * F.col("source_size") + inner * block
-    length = F.least(F.lit(block), F.col("source_size") - inner * block, F.col("words") - used)
+    length = F.least(block, F.col("source_size") - inner * block, F.col("words") - used)
     slots = slots.select("slot", "sid", "rank", length.cast("long").alias("n_words"), inner.cast("long").alias("block_id")).filter("n_words > 0")
     return sized, targets, slots, pieces
 
@@ -142,15 +146,26 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0)
 
 
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
-    """docs as the mix takes them: each row as often as its taken words hold it, rounded; rows taken not at all go.
+    """docs as the mix takes them, in the schedule's order: each row once for each slot that takes its first word.
 
-    Only the documents at the end of a source's last block are taken in part. Equal rows share their copies.
+    Rows lie in the order of their slots, range by range, so that files written from them do too. A row is taken
+    whole, three times at most, so that a source's words are its target but for its last document. Rows taken not at
+    all go, as do rows without words, null texts among them. Rows that are equal in doc_id and text share their copies
+    evenly, rounded up. Null doc_ids are ids like others; extra columns may have any name; an empty table stays so.
     """
-    taken = _taken(docs, block_words, seed).filter("taken > 0")
-    copies = taken.withColumn("n", F.round(F.col("taken") / F.col("size"))).groupBy(F.col("doc_id").alias("_id"), "_text").agg(F.ceil(F.sum("n") / F.count("*")).cast("int").alias("_copies"))
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = keyed.join(copies, keyed["doc_id"].eqNullSafe(copies["_id"]) & (keyed["_hash"] == copies["_text"])).filter("_copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select([keyed[c] for c in docs.columns])
+    _, _, slots, pieces = mixed_schedule(docs, block_words, seed)
+    first = pieces.filter(F.col("at") >= F.col("block_id") * F.col("block")).withColumnRenamed("begin", "into")
+    taken = first.join(slots.select("slot", "sid", "block_id", "n_words"), ["sid", "block_id"]).filter("into < n_words")
+    own = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_none"), F.col("_text")]
+    once = taken.groupBy("sid", "at", *own).agg(F.count("*").alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.sum("slot").alias("sum"))
+    share = F.ceil(F.sum("n") / F.count("*")).cast("int")
+    middle = F.when(F.count("*") > 1, F.floor((F.min("low") + F.max("high")) / 2)).otherwise(F.max(F.col("sum") - F.col("low") - F.col("high")))
+    at = F.when(share == 1, F.array(F.min("low"))).when(share == 2, F.array(F.min("low"), F.max("high"))).otherwise(F.array(F.min("low"), middle, F.max("high")))
+    copies = once.groupBy("_id", "_none", "_text").agg(at.alias("_slots"))
+    # One struct holds the row, so that no column of docs can clash with those of the join.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_none"), F.xxhash64("text").alias("_text"))
+    placed = rows.join(copies, ["_id", "_none", "_text"]).select("_row", F.explode("_slots").alias("_slot"), "_id", "_text")
+    return placed.repartitionByRange("_slot", "_id", "_text").sortWithinPartitions("_slot", "_id", "_text").select("_row.*")
 
 
 #: DuckDB: a source's stream of words, in hash order and repeated, is taken up to its target.

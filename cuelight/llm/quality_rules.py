@@ -1,8 +1,10 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions alone.
 
-Each rule rejects a document on measures of its whole text. On a sample of documents each rule's rejection rate
-and its cost are estimated, and the cascade tries the rules by rejection per cost, so that later rules see only
-what the earlier ones let through. The verdict is the conjunction of all rules, whatever their order.
+Each rule rejects a document on measures of its whole text. On a sample of documents, chosen by hash, each rule's
+rejection rate and its cost, that of its measures included, are estimated, and the cascade tries the rules by rejection
+per cost, so that later rules see only what the earlier ones let through. The verdict is the conjunction of all rules,
+whatever their order. quality_documents() computes a measure only for documents that reach a rule which needs it;
+quality_rules() returns all measures and so computes them for all documents.
 """
 
 from __future__ import annotations
@@ -13,10 +15,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import WORD
+from cuelight.llm.common import WORD, free_name, written
 
-#: Documents on which costs and selectivities are estimated; the verdicts always cover all documents.
+#: Documents, about, on which costs and selectivities are estimated; the verdicts always cover all documents.
 SAMPLE_ROWS = 2000
+#: Runs of each rule over the sample; the shortest counts, as other work only adds to a run.
+RUNS = 2
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 5
@@ -63,18 +67,19 @@ def duplicate_lines(text: Column) -> Column:
 def base_measures(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of every whole text.
 
-    A null text counts as empty and has 0 of everything. Columns of docs with one of these names are replaced.
+    A null text counts as empty and has 0 of everything. Columns of docs with one of these names are replaced; others
+    stay, whatever their names.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("_text", text).withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
+    text, words = free_name(docs, "_text"), free_name(docs, "_words")
+    out = docs.withColumn(text, F.coalesce(F.col("text"), F.lit(""))).withColumn(words, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
     out = out.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.translate("_text", SPACES, "")).cast("long"),
-        "n_symbols": (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": duplicate_lines(F.col("_text")),
-        "n_repeat_words": repeated_words(F.col("_words")),
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
+        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_dup_lines": duplicate_lines(F.col(text)),
+        "n_repeat_words": repeated_words(F.col(words)),
     })
-    return out.drop("_text", "_words")
+    return out.drop(text, words)
 
 
 def base_failed() -> Column:
@@ -97,28 +102,36 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejection per cost, both estimated on a sample of measured docs; ties keep the given order.
+def hashed_sample(docs: DataFrame, rows: int) -> DataFrame:
+    """Texts of about `rows` documents, chosen by hash of their ids and texts, as a table in the shared folder."""
+    n = docs.count()
+    key = F.xxhash64("doc_id", "text") if "doc_id" in docs.columns else F.xxhash64("text")
+    chosen = docs if n <= rows else docs.filter(F.pmod(key, F.lit(1 << 30)) < int(rows / n * (1 << 30)))
+    return written(chosen.select(F.col("text").cast("string").alias("text")), "rule-sample")
+
 
-    Cost is the time of one aggregate over the sample with the rule, less that of one without. The order only
-    decides how much work is done, so a noisy estimate can't change a verdict.
+def order_rules(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """Rules by rejection per cost, both estimated on a bounded sample(text); ties keep the given order.
+
+    Cost is the time of an aggregate over the sample with the rule, which computes the measures it needs and no
+    others, less that of one without. The order only decides how much work is done, so a noisy estimate can't change a
+    verdict.
     """
-    columns = list(dict.fromkeys(["text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]))
-    sample = docs.select(columns).limit(sample_rows).cache()
+    measured = base_measures(sample)
     n = max(1, sample.count())
 
-    def timed(*columns: Column) -> tuple[float, list]:
+    def timed(*columns: Column) -> tuple[float, int]:
         began = time.perf_counter()
-        row = sample.agg(F.count(F.lit(1)), *columns).first()
-        return time.perf_counter() - began, list(row)
+        row = measured.agg(F.count(F.col("text")), *columns).first()
+        return time.perf_counter() - began, row[-1]
 
-    rejected = lambda r: F.count_if(F.coalesce(r.rejects, F.lit(False)))
-    floor = min(timed()[0] for _ in range(2))
-    rates = timed(*[rejected(r) for r in rules])[1][1:]
-    costs = [max(1e-4, timed(rejected(r))[0] - floor) for r in rules]
-    sample.unpersist()
-    by = sorted(range(len(rules)), key=lambda k: (-(rates[k] / n) / costs[k], k))
-    return [rules[k] for k in by]
+    timed()
+    floor = min(timed()[0] for _ in range(RUNS))
+    worth = []
+    for k, r in enumerate(rules):
+        runs = [timed(F.count_if(F.coalesce(r.rejects, F.lit(False)))) for _ in range(RUNS)]
+        worth.append((-(runs[0][1] / n) / max(1e-4, min(t for t, _ in runs) - floor), k))
+    return [rules[k] for _, k in sorted(worth)]
 
 
 def cascade(rules: list[Rule]) -> Column:
@@ -138,12 +151,23 @@ def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows:
     judged one by one. Other columns of docs stay, but for names that the result uses. An empty table stays so.
     """
     rules = default_rules() if rules is None else rules
-    sample = base_measures(docs.select("text").limit(sample_rows))
-    ordered = order_rules(sample, rules, sample_rows)
+    ordered = order_rules(hashed_sample(docs, sample_rows), rules)
     measured = base_measures(docs)
     return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.isnull(cascade(ordered)))
 
 
+def quality_documents(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs(text) that no rule rejects, with their columns as they are; see quality_rules() for the cases.
+
+    The rules stand in the filter itself, so that a document's later measures aren't computed once a rule rejects it.
+    """
+    rules = default_rules() if rules is None else rules
+    ordered = order_rules(hashed_sample(docs, sample_rows), rules)
+    row = free_name(docs, "_row")
+    nested = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), F.col("text"))
+    return base_measures(nested).filter(F.isnull(cascade(ordered))).select(f"{row}.*")
+
+
 #: DuckDB: the measures and all default rules.
 ORACLE = r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),

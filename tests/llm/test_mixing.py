@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from cuelight.llm.mixing import mix_sources, mixed_schedule
+from cuelight.llm.mixing import mix_sources, mixed_documents, mixed_schedule
 
 SCHEMA = "doc_id long, text string, source string, size long, target string"
 
@@ -62,3 +62,48 @@ def test_schedule_spreads_sources(spark):
 def test_no_words(spark, data):
     got = mix_sources(spark.createDataFrame(data, SCHEMA)).collect()
     assert [(r.size, r.taken, r.target) for r in got] == [(0, 0, 0.0)] * len(data)
+
+
+def test_tiny_source_keeps_other_blocks(spark):
+    """A source of three words has blocks of its own size; the others' blocks stay."""
+    plain = [(i, "w " * 400, "ab"[i % 2], 1, "") for i in range(200)]
+    count = {}
+    for name, data in (("plain", plain), ("tiny", [*plain, (999, "only three words", "c", 1, "")])):
+        _, targets, slots, pieces = mixed_schedule(spark.createDataFrame(data, SCHEMA))
+        count[name] = slots.count(), pieces.count()
+        assert {r.source: r.block for r in targets.collect() if r.source != "c"} == {"a": 133, "b": 266} or name == "tiny"
+    assert all(b < 1.1 * a + 250 for a, b in zip(count["plain"], count["tiny"], strict=True))
+
+
+def test_documents_lie_in_the_schedule(spark):
+    """Files hold the sources' words evenly, first to last; unrelated columns pass unharmed."""
+    data = [(i, "w " * (20 + i % 50), "abc"[i % 3], f"copy {i}", "hash") for i in range(1500)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, _copies string, _hash string")
+    got = mixed_documents(docs)
+    assert got.schema == docs.schema
+    got = got.collect()
+    total, seen = sum(len(r.text.split()) for r in got), {}
+    by = {}
+    for r in got:
+        by[r.source] = by.get(r.source, 0) + len(r.text.split())
+    half = 0
+    for r in got:
+        if half < total / 2:
+            half += len(r.text.split())
+            seen[r.source] = seen.get(r.source, 0) + len(r.text.split())
+    assert all(abs(seen[s] / half - by[s] / total) < 0.02 for s in by)
+    assert all(r._copies == f"copy {r.doc_id}" and r._hash == "hash" for r in got)
+
+
+def test_documents_odd_cases(spark):
+    data = [*rows(), *[(None, "same words here", "a", 1, "")] * 40, (None, None, "a", 1, "")]
+    docs = spark.createDataFrame(data, SCHEMA)
+    got = mixed_documents(docs).collect()
+    counts = {}
+    for r in got:
+        counts[(r.doc_id, r.text)] = counts.get((r.doc_id, r.text), 0) + 1
+    have = {}
+    for i, t, *_ in data:
+        have[(i, t)] = have.get((i, t), 0) + 1
+    assert all(n <= 3 * have[k] for k, n in counts.items()) and all(t and t.split() for _, t in counts)
+    assert mixed_documents(docs.limit(0)).count() == 0
