@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuelight.llm.common import chunks, lean, lower_ascii, mix, not_space, prefix_hash, span_hash, split_by_sketch, text_bytes, word_spans, written
 from cuelight.llm.components import components
@@ -355,7 +356,12 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     links with nothing and has a null component_id. Other columns are ignored. Shingles are compared by 64-bit
     hashes.
     """
-    spark = docs.sparkSession
+    return _labelled(docs, size, percent).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """jaccard_components() with the set's signature (h1, h2), and `first`: whether the row's doc_id and signature are
+    the smallest of its component, or it has no component."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(rows.mapInArrow(_sets(size, percent), "doc_id long, n long, h1 long, h2 long, low binary").withColumn("uid", F.monotonically_increasing_id()), "shingle-sets")
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")
@@ -382,22 +388,47 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     links = found.groupBy(F.col("a").alias("uid")).agg(F.sum("k").alias("n_links"))
     roots = components(found.select("a", "b")).select(F.col("a").alias("uid"), F.col("b").alias("root"))
     placed = groups.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")).join(links, "uid", "left")
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labelled = placed.join(least, "root").select("h1", "h2", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    least = placed.groupBy("root").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("least"))
+    labelled = placed.join(least, "root").select("h1", "h2", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "least")
     small = sets.select("doc_id", "n", "h1", "h2")
-    linked = small.filter("n > 0 AND doc_id IS NOT NULL").join(labelled, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    alone = small.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    linked = small.filter("n > 0 AND doc_id IS NOT NULL").join(labelled, ["h1", "h2"])
+    first = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("h1") == F.col("least.h1")) & (F.col("h2") == F.col("least.h2"))
+    linked = linked.select("doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), "n_links", "h1", "h2", first.alias("first"))
+    alone = small.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "h1", "h2", F.lit(True).alias("first"))
     return linked.unionByName(alone)
 
 
+def _signed(size: int) -> Callable:
+    """Rows with the number and signature of their shingles in the last three columns."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "_text"):
+            sets = list(shingle_sets(batch.column("_text"), size))
+            signs = [_signature(s) for s in sets]
+            found = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[k] for x in signs], pa.int64()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), batch.column("_text"), *found], names=["_row", "_id", "_text", "_n", "_h1", "_h2"])
+
+    return lean(sign)
+
+
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component, the one with the smallest doc_id; rows without words or id stay.
+    """docs with one row of each component, the one with the smallest doc_id; rows without words or id stay.
 
-    Of rows that share the smallest doc_id one stays.
+    Rows that share a doc_id are documents of their own: one that isn't linked with the others stays beside them. Of
+    linked rows with the same smallest doc_id the one with the smallest shingle signature stays, then the one with the
+    smallest text; of equal rows one stays. Extra columns may have any name. An empty table stays so.
     """
-    keep = jaccard_components(docs, size, percent)
-    first = written(keep.filter("doc_id = component_id").groupBy("doc_id").count(), "kept-ids")
-    kept = docs.join(first, "doc_id", "left_semi").select(docs.columns)
-    if not first.filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    keep = _labelled(docs, size, percent).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("first").alias("_first"))
+    keep = written(keep, "kept-signatures")
+    shared = keep.groupBy("_id").count().filter("count > 1").select("_id")
+    # One struct holds the row, so that no column of docs can clash with those of the joins.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
+    out = rows.filter("_id IS NULL").select("_row")
+    if shared.isEmpty():
+        return out.unionByName(rows.join(keep.filter("_first").select("_id"), "_id", "left_semi").select("_row")).select("_row.*")
+    shared = written(shared, "shared-ids")
+    out = out.unionByName(rows.join(shared, "_id", "left_anti").join(keep.filter("_first").select("_id"), "_id", "left_semi").select("_row"))
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.LongType()) for n in ("_n", "_h1", "_h2"))])
+    signed = rows.join(shared, "_id", "left_semi").mapInArrow(_signed(size), schema).join(keep.filter("_first").distinct(), ["_id", "_h1", "_h2"], "left_semi")
+    best = signed.filter("_n > 0").groupBy("_id", "_h1", "_h2").agg(F.min(F.struct("_text", F.xxhash64(F.to_json("_row")), "_row")).alias("least"))
+    return out.unionByName(signed.filter("_n = 0").select("_row")).unionByName(best.select("least._row")).select("_row.*")

@@ -76,7 +76,19 @@ def test_like_brute_force(spark):
     kept = one_of_each(df)
     assert kept.columns == df.columns
     ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
-    assert sorted(ids) == sorted({r.component_id for r in got} - {None})
+    # Two unrelated texts share the id 3 and are components of their own.
+    assert [r.component_id for r in got if r.doc_id == 3] == [3, 3] and sorted(ids) == sorted([*{r.component_id for r in got} - {None}, 3])
+
+
+def test_rows_that_share_an_id(spark):
+    """Unrelated texts of one id stay, near copies of any id go, and reruns keep the same rows."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    docs = [(1, a, "x", "_row"), (1, b, "y", "_row"), (2, f"{a} more", "z", "_row"), (2, c, "u", "_row"), (3, b, "v", "_row"), (2, c, "u", "_row"), (2, c.upper(), "t", "_row"), (4, None, "w", "_row"), (4, "", "w", "_row"), (None, a, "n", "_row"), (None, a, "n", "_row")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _h1 string, first string")
+    want = sorted([(1, a, "x", "_row"), (1, b, "y", "_row"), (2, c.upper(), "t", "_row"), (4, None, "w", "_row"), (4, "", "w", "_row"), (None, a, "n", "_row"), (None, a, "n", "_row")], key=str)
+    for n in (1, 3, 5):
+        kept = one_of_each(df.repartition(n), 5, 80)
+        assert kept.schema == df.schema and sorted(map(tuple, kept.collect()), key=str) == want
 
 
 def test_long_lists_and_blocks(spark, monkeypatch):

@@ -48,3 +48,33 @@ def test_empty(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.written(stage(spark, docs, SF), f"empty-{name}")
         assert docs.count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows and clashing names, through every stage."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = ["_toxicity", "_row", "_id", "_text", "_slot", "_dc_spans", "_dc_words", "_dc_items", "_copies", "_hash", "n_words", "size"]
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs.collect()]
+    twin = "unrelated words that share an id with others " * 3
+    rows += [(None, None, None, None, None), (None, twin, "en", None, 5), (None, twin, "en", None, 5), (7000, "", "en", "web", 0), (7000, twin + "first", "en", "web", 9), (7001, None, None, "web", None)]
+    harmless = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.toxic == 0}
+    plain = next(r[1] for r in rows if r[0] in harmless and r[2] == "en" and len(r[1]) > 500)
+    rows += [(7002, f"{plain}\n" * 1500, "en", "web", 1), (7003, "a tie", "en", "web", 5), (7004, "a tie", "en", "web", 5), (7004, "a tie", "en", "web", 5), (7005, "漢字 é \x00 \x1c", "de", "", 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(*r, *[f"own {n}" for n in names]) for r in rows], schema).repartition(4)
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        before = docs
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), f"odd-{name}")
+        assert docs.columns == before.columns and [f.dataType for f in docs.schema] == [f.dataType for f in before.schema]
+        got = docs.collect()
+        assert all(r[n] == f"own {n}" for r in got for n in names), name
+        if k != 2:
+            assert {(r.doc_id, r.text) for r in got} <= {(r.doc_id, r.text) for r in before.collect()}
+        if k < 2:
+            assert {(None, None), (7001, None), (7000, ""), (None, twin), (7002, rows[-5][1])} - ({(7002, rows[-5][1])} if k else set()) <= {(r.doc_id, r.text) for r in got}, name
+    sizes = Counter((r.doc_id, r.text) for r in got)
+    assert all(size(t) for _, t in sizes)
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len(out) == len(got) and sum(r.n_tokens for r in out) == max(r.start + r.n_tokens for r in out)
