@@ -19,28 +19,45 @@ SHINGLE, PERCENT = 5, 80
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels, doesn't find toxic."""
+    """Documents that the classifier, fitted on the labels, doesn't find toxic, with all columns as they are.
+
+    Null and empty texts have no words to be toxic by; rows of one doc_id, and rows without one, are judged by their own
+    text, so that repeated rows go or stay together. An empty table stays so.
+    """
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, the one with the smallest doc_id.
+
+    Rows without words or without a doc_id stay; unrelated rows of one doc_id stay; of equal rows one stays.
+    """
     return one_of_each(docs, SHINGLE, PERCENT)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark; n_chars follows the text."""
+    """Documents without passages of the benchmark; n_chars is the length of the text that is left.
+
+    Rows without passages, null and empty texts among them, and repeated rows stay as they are; a document that is
+    mostly passages goes.
+    """
     clean = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, in the files' order that of the schedule.
+
+    Null sources are a source; null doc_ids are ids like others; rows without words are never taken.
+    """
     return mixed_documents(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the documents, read back per document."""
+    """Token files of the documents in ascending doc_id order, null ids first, read back per document.
+
+    Repeated rows are documents of their own; a null or empty text is one end id; an empty table gives no files.
+    """
     return token_files(docs, VOCABULARY, END_ID)
 
 
