@@ -21,7 +21,7 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text handed to a byte kernel at a time, which bounds a Python worker's memory.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 
 _WORKER_STATE: dict = {}
 
@@ -42,6 +42,22 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Bytes of rows that Spark hands to a Python worker at a time, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+
+
+def modest_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches bounded in bytes: rows are whole texts, and 10,000 of them are a lot.
+
+    Batches take memory on both sides of the pipe, in the JVM outside of its heap. A lower bound that the session has
+    stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(1 << 62)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
 def lean(function: Callable) -> Callable:
     """A function of batches for mapInArrow() that releases what it doesn't need when its last batch is through.
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelight.llm.common import chunks, free_name, lean, lower_ascii, prefix_hash, span_hash, text_bytes, word_spans, worker_state, written
+from cuelight.llm.common import chunks, free_name, lean, lower_ascii, modest_batches, prefix_hash, span_hash, text_bytes, word_spans, worker_state, written
 
 WINDOW = 10
 #: Words of items in one automaton: what a worker holds at once. More items are passed over in further rounds.
@@ -253,6 +253,7 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list[str], list[
 
 def _passes(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, names: tuple[str, str, str], max_coverage: float | None) -> DataFrame:
     """A pass over docs for each block of items; the last one cuts if `max_coverage` is given."""
+    modest_batches(docs.sparkSession)
     types = T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in [*docs.schema.fields, *map(T.StructField, names, types)]])
     empty = F.lit(0), F.array(), F.array()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelight.llm.common import chunks, lean, lower_ascii, mix, not_space, prefix_hash, span_hash, split_by_sketch, text_bytes, word_spans, written
+from cuelight.llm.common import chunks, lean, lower_ascii, mix, modest_batches, not_space, prefix_hash, span_hash, split_by_sketch, text_bytes, word_spans, written
 from cuelight.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
@@ -362,6 +362,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
 def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """jaccard_components() with the set's signature (h1, h2), and `first`: whether the row's doc_id and signature are
     the smallest of its component, or it has no component."""
+    modest_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(rows.mapInArrow(_sets(size, percent), "doc_id long, n long, h1 long, h2 long, low binary").withColumn("uid", F.monotonically_increasing_id()), "shingle-sets")
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")

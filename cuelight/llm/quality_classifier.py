@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelight.llm.common import chunks, lean, mix, not_space, prefix_hash, span_hash, text_bytes, word_spans
+from cuelight.llm.common import chunks, lean, mix, modest_batches, not_space, prefix_hash, span_hash, text_bytes, word_spans
 from cuelight.llm.fitting import held_out, labelled, logistic, platt
 
 #: Labelled documents of either class that the model is fitted on at most.
@@ -207,7 +207,7 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     A null or empty text has no n-grams and gets the probability of the offset; repeated rows score alike.
     """
     docs = docs.drop("_quality")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = modest_batches(docs.sparkSession).sparkContext.broadcast(model)
     schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in docs.schema.fields], T.StructField("_quality", T.DoubleType())])
     return docs.mapInArrow(_scorer(shared), schema)
 

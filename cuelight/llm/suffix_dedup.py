@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import chunks, lean, prefix_hash, span_hash, split_by_sketch, text_bytes, written
+from cuelight.llm.common import chunks, lean, modest_batches, prefix_hash, span_hash, split_by_sketch, text_bytes, written
 from cuelight.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 24
@@ -267,6 +267,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     count as one document and get the same result. Other columns are ignored. Runs and grams are compared by 64-bit
     hashes, windows of shards byte by byte.
     """
+    modest_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), "text")
     unique = rows.groupBy("id").count().filter("count > 1").limit(1).count() == 0
     runs = rows.select(F.col("id").alias("doc_id"), "text").mapInArrow(_run_rows(unique), _ROWS)

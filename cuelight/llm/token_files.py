@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import chunks, lean, shared_dir, worker_state, written
+from cuelight.llm.common import chunks, lean, modest_batches, shared_dir, worker_state, written
 
 PARTS = "path string, first_id long, first_key long, n_docs long, n_tokens long"
 PART_NAMES = [x.split()[0] for x in PARTS.split(", ")]
@@ -34,7 +34,7 @@ ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 NULL_ID = -(2**63)
 
 #: Bytes of words and ids that a worker keeps, and text and words that it takes apart at a time; these bound memory, not results.
-CACHE_BYTES, STEP_BYTES, STEP_WORDS = 64 << 20, 6 << 20, 1 << 20
+CACHE_BYTES, STEP_BYTES, STEP_WORDS = 32 << 20, 2 << 20, 1 << 18
 #: Words handed to the tokenizer in one text, with a mark between them whose id no other word can have.
 JOINED, MARK = 100, "\x01"
 
@@ -175,7 +175,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
     documents, ordered by a hash of the text, and may lie in several parts; other columns are ignored; an empty table
     gives a manifest without parts. `dtype` is the least type that holds the vocabulary unless given.
     """
-    spark = docs.sparkSession
+    spark = modest_batches(docs.sparkSession)
     folder, dtype = folder or shared_dir(spark, "token-files"), dtype or id_type(vocabulary, end_id)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     ordered = ordered.repartitionByRange("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "text")

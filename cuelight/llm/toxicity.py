@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelight.llm.common import chunks, lean, worker_state
+from cuelight.llm.common import chunks, lean, modest_batches, worker_state
 from cuelight.llm.fitting import held_out, labelled
 
 #: Labelled documents of either class that the model is fitted on at most, and their text in all.
@@ -226,7 +226,7 @@ def score_toxicity(docs: DataFrame, model: Model, name: str = "_toxicity") -> Da
     empty table stays so.
     """
     docs = docs.drop(name)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = modest_batches(docs.sparkSession).sparkContext.broadcast(model)
     return docs.mapInArrow(_scorer(shared, model.key(), name, 0), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
@@ -238,7 +238,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     empty table, or one without labels, loses nothing.
     """
     model = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = modest_batches(docs.sparkSession).sparkContext.broadcast(model)
     return docs.mapInArrow(_scorer(shared, model.key(), None, threshold), docs.schema)
 
 
