@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -94,72 +94,95 @@ def first_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_place", F.row_number().over(by)).filter("_place = 1").drop("_place")
 
 
+def _per_page(rows, names: list[str], types: list[pa.DataType]):
+    """A function for mapInArrow(): for each page the tuples that rows(html) yields, beside its page_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, found = [], []
+            for k, html in enumerate(batch.column("html").to_pylist()):
+                for row in rows(html):
+                    of.append(k)
+                    found.append(row)
+            columns = list(zip(*found, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").take(pa.array(of, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["page_id", *names])
+
+    return run
+
+
 def episode_links(pages: DataFrame, base_url: str) -> DataFrame:
     """(page_id, season, episode, url) of pages(page_id, html): the first link of each episode."""
-    rows = pages.lateralJoin(EpisodeLinks(F.col("html").outer(), F.lit(base_url)))
-    return first_wins(rows, ["page_id", "season", "episode"], ["pos"]).select("page_id", "season", "episode", "url")
+    rows = lambda html: EpisodeLinks.func().eval(html, base_url)
+    read = _per_page(rows, ["pos", "season", "episode", "url"], [pa.int32(), pa.int32(), pa.int32(), pa.string()])
+    found = pages.select("page_id", "html").mapInArrow(read, f"page_id {pages.schema['page_id'].dataType.simpleString()}, pos int, season int, episode int, url string")
+    return first_wins(found, ["page_id", "season", "episode"], ["pos"]).select("page_id", "season", "episode", "url")
 
 
 def best_download(pages: DataFrame, language: str, base_url: str) -> DataFrame:
     """(page_id, version, url, downloads) of the most downloaded box of a language; the first of equals."""
-    rows = pages.lateralJoin(DownloadBoxes(F.col("html").outer(), F.lit(language), F.lit(base_url)))
-    return first_wins(rows, ["page_id"], [F.desc("downloads"), "pos"]).select("page_id", "version", "url", "downloads")
-
-
-def _follow(graph: dict, node):
-    if isinstance(node, dict) and node.get("$type") == "ref":
-        for part in node.get("value") or []:
-            if not isinstance(graph, dict):
-                return None
-            graph = graph.get(str(part))
-        return graph
-    return node
-
-
-def _plain(node):
-    if isinstance(node, dict) and (node.get("$type") == "atom" or ("value" in node and len(node) <= 3)):
-        return node.get("value")
-    return node
-
-
-def _entries(graph: dict, node) -> list:
-    node = _follow(graph, node)
-    if isinstance(node, list):
-        return node
-    if not isinstance(node, dict):
-        return []
-    if node.get("$type") == "list" or isinstance(node.get("values"), list):
-        return node.get("values") or []
-    return [node[k] for k in sorted((k for k in node if k.isdigit()), key=int)]
-
-
-def _identity(graph: dict, entry):
-    target = _follow(graph, entry)
-    for x in (target, entry):
-        if isinstance(x, dict) and (found := _plain(x.get("id"))) is not None:
-            return found
-    return None if isinstance(entry, dict) else _plain(entry)
-
-
-@udtf(returnType="season int, episode int, video_id string")
-class EpisodeIds:
-    """Episode ids of a show in a graph document, whose nodes are references, atoms and lists."""
-
-    def eval(self, document: str, show_id: str) -> Iterator[tuple]:
-        graph = json.loads(document or "{}")
-        videos = graph.get("videos") or {}
-        show = videos.get(show_id) or {}
-        for season, entry in enumerate(_entries(graph, (show.get("seasonList") or {}).get("seasons")), 1):
-            own = _identity(graph, entry)
-            if own is None:
-                continue
-            block = videos.get(str(own)) or _follow(graph, entry) or {}
-            for episode, item in enumerate(_entries(graph, block.get("episodes") if isinstance(block, dict) else None), 1):
-                found = _identity(graph, item)
-                if found is not None and isinstance(item, dict):
-                    yield season, episode, str(found)
+    rows = lambda html: DownloadBoxes.func().eval(html, language, base_url)
+    read = _per_page(rows, ["pos", "version", "url", "downloads"], [pa.int32(), pa.string(), pa.string(), pa.int32()])
+    found = pages.select("page_id", "html").mapInArrow(read, f"page_id {pages.schema['page_id'].dataType.simpleString()}, pos int, version string, url string, downloads int")
+    return first_wins(found, ["page_id"], [F.desc("downloads"), "pos"]).select("page_id", "version", "url", "downloads")
+
+
+# A graph document is JSON whose nodes refer to each other. A reference names the path of its target from the
+# document's root, an atom wraps a value, and a list is an array, an atom-like wrapper of one, or an object with numbered
+# members. The expressions below work on VARIANT values within one row, so that no join and no Python is needed.
+
+
+def _member(node: str, name: str, kind: str = "variant") -> str:
+    return f"""try_variant_get({node}, '$["{name}"]', '{kind}')"""
+
+
+def _target(graph: str, node: str) -> str:
+    """What a reference refers to; any other node itself."""
+    steps = _member(node, "value", "array<string>")
+    path = f"""concat('$', array_join(transform({steps}, step -> concat('["', step, '"]')), ''))"""
+    return f"if({_member(node, '$type', 'string')} <=> 'ref', try_variant_get({graph}, {path}, 'variant'), {node})"
+
+
+def _is_object(node: str) -> str:
+    return f"startswith(schema_of_variant({node}), 'OBJECT')"
+
+
+def _scalar(node: str) -> str:
+    """A value as text, out of its atom if it has one."""
+    return f"if({_is_object(node)}, {_member(node, 'value', 'string')}, try_variant_get({node}, '$', 'string'))"
+
+
+def _items(graph: str, node: str) -> str:
+    """The nodes of a list, in order."""
+    numbered = f"filter(map_entries(try_variant_get(it, '$', 'map<string, variant>')), m -> m.key RLIKE '^[0-9]+$')"
+    ordered = f"transform(array_sort({numbered}, (x, y) -> CAST(x.key AS INT) - CAST(y.key AS INT)), m -> m.value)"
+    listed = f"coalesce({_member('it', 'values', 'array<variant>')}, try_variant_get(it, '$', 'array<variant>'), {ordered}, array())"
+    return f"get(transform(array({_target(graph, node)}), it -> {listed}), 0)"
+
+
+def _identity(graph: str, node: str) -> str:
+    """The id of the node that is meant, of the reference to it otherwise."""
+    return f"get(transform(array({node}), n -> coalesce({_scalar(_member(_target(graph, 'n'), 'id'))}, {_scalar(_member('n', 'id'))})), 0)"
+
+
+def graph_episodes(document: str, show_id: str) -> str:
+    """SQL of an array of (season, episode, video_id): the episode ids of a show in a graph document, both SQL too.
+
+    Seasons and episodes are numbered from 1 by their places. A season is the video that its id names, or else what its
+    entry refers to; a bare value in the list of seasons is an id. Entries without an id, and episodes that are bare
+    values, keep their place but give no row. Null and malformed documents give none.
+    """
+    seasons = _items("g", "show_seasons")
+    episode = f"if({_is_object('item')}, {_identity('g', 'item')}, NULL)"
+    block = f"""coalesce(try_variant_get(g, concat('$["videos"]["', own, '"]'), 'variant'), {_target('g', 'entry')})"""
+    rows = f"transform({_items('g', _member(block, 'episodes'))}, (item, e) -> named_struct('season', s + 1, 'episode', e + 1, 'video_id', {episode}))"
+    own = f"coalesce({_identity('g', 'entry')}, if({_is_object('entry')}, NULL, {_scalar('entry')}))"
+    per_season = f"get(transform(array({own}), own -> if(own IS NULL, array(), {rows})), 0)"
+    of_show = f"""get(transform(array(try_variant_get(g, concat('$["videos"]["', {show_id}, '"]["seasonList"]["seasons"]'), 'variant')), show_seasons -> {seasons}), 0)"""
+    found = f"flatten(transform({of_show}, (entry, s) -> {per_season}))"
+    return f"get(transform(array(try_parse_json({document})), g -> filter({found}, r -> r.video_id IS NOT NULL)), 0)"
 
 
 def walk_graph(documents: DataFrame, show_id: str) -> DataFrame:
-    """(season, episode, video_id) of documents(document)."""
-    return documents.lateralJoin(EpisodeIds(F.col("document").outer(), F.lit(show_id))).select("season", "episode", "video_id")
+    """(season, episode, video_id) of documents(document); see graph_episodes()."""
+    escaped = show_id.replace("\\", "\\\\").replace("'", "\\'")
+    return documents.select(F.explode(F.expr(graph_episodes("document", f"'{escaped}'"))).alias("r")).select("r.season", "r.episode", "r.video_id")

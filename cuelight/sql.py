@@ -23,8 +23,9 @@ def register(spark: SparkSession) -> None:
     """Make the functions available to SQL in this session."""
     for name, (args, kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION walk_graph(document STRING, show_id STRING) RETURNS TABLE(season INT, episode INT, video_id STRING) RETURN SELECT r.season, r.episode, r.video_id FROM (SELECT explode({pages.graph_episodes('walk_graph.document', 'walk_graph.show_id')}) AS r)")
     spark.udf.register("partial_ratio", F.pandas_udf(S._partial_ratio, "double"))
-    for name, table in (("episode_links", pages.EpisodeLinks), ("download_boxes", pages.DownloadBoxes), ("walk_graph", pages.EpisodeIds)):
+    for name, table in (("episode_links", pages.EpisodeLinks), ("download_boxes", pages.DownloadBoxes)):
         spark.udtf.register(name, table)
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cuelight import sql
 from cuelight.models import HashedEmbedder, OverlapReranker, detect_language
 from cuelight.operators import corpus, evaluate, index, relational, search
 from cuelight.sources import pages, subtitles, tables
@@ -177,6 +178,25 @@ def test_pages_and_filters(spark):
     assert [tuple(r) for r in got] == [(1, 2, 4, "https://h.example/versions-1-4-2-x-subtitles")]
     doc = json.dumps({"videos": {"1": {"seasonList": {"seasons": {"$type": "list", "values": [{"$type": "ref", "value": ["videos", "5"]}, {"id": 6}]}}}, "5": {"id": {"$type": "atom", "value": 5}, "episodes": {"0": {"$type": "ref", "value": ["videos", "50"]}, "10": {"id": 52}, "9": {"id": 51}}}, "6": {"episodes": [{"id": {"value": 60}}]}, "50": {"id": 50}}})
     assert sorted(map(tuple, pages.walk_graph(spark.createDataFrame([(doc,), (None,)], "document string"), "1").collect())) == [(1, 1, "50"), (1, 2, "51"), (1, 3, "52"), (2, 1, "60")]
+    sql.register(spark)
+    assert sorted(map(tuple, spark.sql("SELECT * FROM walk_graph('" + doc + "', '1')").collect())) == [(1, 1, "50"), (1, 2, "51"), (1, 3, "52"), (2, 1, "60")]
     films = spark.createDataFrame([(1999, ["drama"], "Ann Lee"), (2005, ["comedy"], "Bo")], "year int, genres array<string>, director string")
     assert relational.metadata_filter(films, 1990, 2000, "drama", "ann lee").count() == 1
     assert [r[0] for r in spark.createDataFrame([("the cat and the dog is here",), ("der die das und",), ("zzz",)], "x string").coalesce(1).select(detect_language("x")).collect()] == ["en", "de", None]
+
+
+def test_graph_documents(spark):
+    """References, atoms and lists in the shapes they may take, against rows written out by hand."""
+    ref = lambda *path: {"$type": "ref", "value": list(path)}
+    atom = lambda x: {"$type": "atom", "value": x}
+    listed = lambda *x: {"$type": "list", "values": list(x)}
+    cases = [
+        (None, []), ("not json", []), ("{}", []), ("[1]", []),
+        ({"videos": {"9": {"seasonList": {"seasons": [7]}}, "7": {"episodes": [ref("videos", "70"), 71, {"id": atom("x")}]}, "70": {"id": atom(70)}}}, [(1, 1, "70"), (1, 3, "x")]),
+        ({"videos": {"9": {"seasonList": {"seasons": ref("lists", "s")}}, "70": {"id": 70}}, "lists": {"s": {"2": ref("lists", "t"), "11": {"id": 8, "episodes": listed({"id": atom(80)})}, "length": 2}, "t": {"id": atom(7), "episodes": {"1": ref("videos", "70"), "0": ref("videos", "none")}}}}, [(1, 2, "70"), (2, 1, "80")]),
+        ({"videos": {"9": {"seasonList": {"seasons": listed({"name": "no id"}, ref("videos", "7"))}}, "7": {"id": atom(7), "episodes": ref("eps")}}, "eps": [{"id": {"value": "e"}}]}, [(2, 1, "e")]),
+    ]
+    for document, want in cases:
+        text = document if document is None or isinstance(document, str) else json.dumps(document)
+        got = pages.walk_graph(spark.createDataFrame([(text,)], "document string"), "9").collect()
+        assert sorted(map(tuple, got)) == want, document
