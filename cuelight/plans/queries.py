@@ -115,18 +115,11 @@ def dialogue_filter(spark: SparkSession, sf: str) -> DataFrame:
     return lines.filter(X.dialogue("is_watermark", "text_clean")).select("doc_id", "line_no", "text_clean")
 
 
-@query("""WITH l AS (SELECT conv_id, turn, upper(role) || ': ' || string_split(text, chr(10))[1] AS line FROM conversations)
-SELECT conv_id, turn, CASE WHEN m THEN upper(substr(name, 1, 1)) || lower(substr(name, 2)) END AS speaker, CASE WHEN m THEN trim(body) ELSE line END AS body
-FROM (SELECT *, regexp_matches(trim(line), '^[A-Z][A-Z0-9 .''-]{0,30}\\s*:\\s*.+$') AS m, regexp_extract(trim(line), '^([A-Z]+)\\s*:', 1) AS name, regexp_extract(trim(line), '^[A-Z]+\\s*:\\s*(.+)$', 1) AS body FROM l)""")
+@query("""WITH t AS (SELECT conv_id, turn, string_split(upper(role) || ': ' || text, chr(10)) AS ls FROM conversations), l AS (SELECT conv_id, turn, unnest(range(len(ls))) AS k, ls FROM t),
+x AS (SELECT conv_id, turn, CAST(k AS INT) AS line_no, ls[k + 1] AS line FROM l)
+SELECT conv_id, turn, line_no, CASE WHEN m THEN upper(substr(name, 1, 1)) || lower(substr(name, 2)) END AS speaker, CASE WHEN m THEN trim(body) ELSE line END AS body
+FROM (SELECT *, regexp_matches(trim(line), '^[A-Z][A-Z0-9 .''-]{0,30}\\s*:\\s*.+$') AS m, regexp_extract(trim(line), '^([A-Z]+)\\s*:', 1) AS name, regexp_extract(trim(line), '^[A-Z]+\\s*:\\s*(.+)$', 1) AS body FROM x)""")
 def speaker_extract(spark: SparkSession, sf: str) -> DataFrame:
-    """Speaker and words of lines that begin with a name."""
-    line = F.concat(F.upper("role"), F.lit(": "), F.get(F.split("text", "\n"), F.lit(0)))
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", X.speaker(line).alias("s"))
-    return rows.select("conv_id", "turn", "s.speaker", "s.body")
-
-
-@query()
-def speaker_extract_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Speaker and words of every line of every turn, whose first line begins with the role; line_no from 0."""
     text = F.concat(F.upper("role"), F.lit(": "), "text")
     lines = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
@@ -355,18 +348,18 @@ def link_enrich(spark: SparkSession, sf: str) -> DataFrame:
 # Retrieval
 
 
-#: Query vectors: the ten that the SQL names, and every row whose id is divisible by 20, which SQL by nested loops can't keep up with.
-_TEN, _WHOLE = "vec_id < 10", "vec_id % 20 = 0"
-#: The recall gate of the reference's search, its ann_top; SQL of ten queries has smaller ones.
+#: The stated query set of searches: every row whose id is divisible by 20, against all rows.
+ASKED = 20
+#: The recall gate of the reference's search, its ann_top.
 GATE = 200
 
 
-def _vectors(spark: SparkSession, sf: str, which: str = _TEN) -> tuple[DataFrame, DataFrame]:
+def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf, "embeddings")
-    return e.filter(which).select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), F.col("label").alias("q_label")), e
+    return e.filter(F.col("vec_id") % ASKED == 0).select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), F.col("label").alias("q_label")), e
 
 
-_SCORED = """s AS (SELECT q.vec_id AS q, e.vec_id, q.label AS q_label, e.label, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS a FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 10) q)"""
+_SCORED = """s AS (SELECT q.vec_id AS q, e.vec_id, q.label AS q_label, e.label, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS a FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)"""
 
 
 @query(f"WITH {_SCORED} SELECT q, vec_id, round(a, 6) AS ann_score FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(a, 9) DESC, vec_id) <= 20")
@@ -383,85 +376,40 @@ def ann_topk_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return search.nearest_blocks(q, e, 20, "q", "qv", "vec_id", "embedding").withColumn("ann_score", F.round("ann_score", 6))
 
 
-@query()
-def ann_topk_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """ann_topk of every row whose id is divisible by 20."""
-    q, e = _vectors(spark, sf, _WHOLE)
-    return search.nearest(q, e, 20, "q", "qv", "vec_id", "embedding").withColumn("ann_score", F.round("ann_score", 6))
+_CAPPED = f"""{_SCORED}, t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY a DESC, vec_id) <= 200), c AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY q, label ORDER BY a DESC, vec_id) <= 2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY a DESC, vec_id) AS rank FROM c)"""
 
 
-@query()
-def ann_topk_blocks_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """ann_topk_blocks of every row whose id is divisible by 20."""
-    q, e = _vectors(spark, sf, _WHOLE)
-    return search.nearest_blocks(q, e, 20, "q", "qv", "vec_id", "embedding").withColumn("ann_score", F.round("ann_score", 6))
-
-
-_CAPPED = f"""{_SCORED}, t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY a DESC, vec_id) <= 100), c AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY q, label ORDER BY a DESC, vec_id) <= 2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY a DESC, vec_id) AS rank FROM c)"""
-
-
-def _near(spark: SparkSession, sf: str, n: int, which: str = _TEN) -> DataFrame:
-    """Nearest vectors with both labels; many queries meet the items in blocks."""
-    q, e = _vectors(spark, sf, which)
-    found = (search.nearest if which == _TEN else search.nearest_blocks)(q, e, n, "q", "qv", "vec_id", "embedding")
-    asked = q.select("q", "q_label")
-    return found.join(e.select("vec_id", "label"), "vec_id").join(F.broadcast(asked) if which == _TEN else asked, "q")
+def _near(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest vectors with both labels; the queries meet the items in blocks."""
+    q, e = _vectors(spark, sf)
+    found = search.nearest_blocks(q, e, GATE, "q", "qv", "vec_id", "embedding")
+    return found.join(e.select("vec_id", "label"), "vec_id").join(q.select("q", "q_label"), "q")
 
 
-def _capped(spark: SparkSession, sf: str, which: str = _TEN) -> DataFrame:
-    near = _near(spark, sf, 100 if which == _TEN else GATE, which)
-    return search.capped_top(near, ["q"], ["label"], [F.desc("ann_score"), F.col("vec_id")], 5)
+def _capped(spark: SparkSession, sf: str) -> DataFrame:
+    return search.capped_top(_near(spark, sf), ["q"], ["label"], [F.desc("ann_score"), F.col("vec_id")], 5)
 
 
 @query(f"WITH {_CAPPED} SELECT q, vec_id, label, CAST(rank AS INT) AS rank, round(a, 6) AS ann_score FROM r WHERE rank <= 5")
 def ann_topk_capped(spark: SparkSession, sf: str) -> DataFrame:
     """Five nearest vectors with two of a label at most."""
-    return _capped_rows(_capped(spark, sf))
-
-
-def _capped_rows(capped: DataFrame) -> DataFrame:
-    return capped.select("q", "vec_id", "label", "rank", F.round("ann_score", 6).alias("ann_score"))
-
-
-@query()
-def ann_topk_capped_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """ann_topk_capped of every row whose id is divisible by 20."""
-    return _capped_rows(_capped(spark, sf, _WHOLE))
+    return _capped(spark, sf).select("q", "vec_id", "label", "rank", F.round("ann_score", 6).alias("ann_score"))
 
 
 @query(f"WITH {_CAPPED} SELECT q, CAST(rank AS INT) AS rank, CASE WHEN rank = 1 AND (a >= 2 OR (a >= 0.5 AND b >= 0.85)) THEN 'high' WHEN a >= -0.5 OR b >= 0.75 OR a >= 0 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN g IS NULL OR g >= 0.25 THEN 'high' WHEN g >= 0.1 THEN 'medium' ELSE 'low' END AS gap_confidence FROM (SELECT *, 1 - rank / 10.0 AS b, a - lead(a) OVER (PARTITION BY q ORDER BY rank) AS g FROM r WHERE rank <= 5)")
 def confidence_band(spark: SparkSession, sf: str) -> DataFrame:
     """Both kinds of confidence of the capped results."""
-    return _bands(_capped(spark, sf))
-
-
-@query()
-def confidence_band_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """confidence_band of every row whose id is divisible by 20."""
-    return _bands(_capped(spark, sf, _WHOLE))
-
-
-def _bands(capped: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     a = F.col("ann_score")
-    rows = capped.withColumn("g", a - F.lead("ann_score").over(Window.partitionBy("q").orderBy("rank")))
+    rows = _capped(spark, sf).withColumn("g", a - F.lead("ann_score").over(Window.partitionBy("q").orderBy("rank")))
     return rows.select("q", "rank", S.confidence_band(a, a, 1 - F.col("rank") / 10, F.col("rank")).alias("confidence"), S.gap_band(F.col("g")).alias("gap_confidence"))
 
 
 @query(f"WITH {_CAPPED}, h AS (SELECT q, min(rank) FILTER (WHERE rank <= 5 AND label = q_label AND vec_id <> q) AS k FROM r GROUP BY q) SELECT count(*) AS n, avg(CASE WHEN k <= 1 THEN 1.0 ELSE 0.0 END) AS recall_at_1, avg(CASE WHEN k <= 5 THEN 1.0 ELSE 0.0 END) AS recall_at_5, round(avg(coalesce(1.0 / k, 0.0)), 6) AS mrr FROM h")
 def recall_eval(spark: SparkSession, sf: str) -> DataFrame:
     """Recall and reciprocal rank where another vector of the query's label is a hit."""
-    return _recall(_capped(spark, sf))
-
-
-@query()
-def recall_eval_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """recall_eval of every row whose id is divisible by 20."""
-    return _recall(_capped(spark, sf, _WHOLE))
-
-
-def _recall(r: DataFrame) -> DataFrame:
+    r = _capped(spark, sf)
     first = r.groupBy("q").agg(F.min(F.when((F.col("label") == F.col("q_label")) & (F.col("vec_id") != F.col("q")), F.col("rank"))).alias("rank_episode"), F.lit(None).cast("int").alias("rank_cue"), F.lit("exact").alias("category"))
     return evaluate.recall(first).select("n", F.col("recall_at_1_episode").alias("recall_at_1"), F.col("recall_at_5_episode").alias("recall_at_5"), F.round("mrr_episode", 6).alias("mrr"))
 
@@ -482,16 +430,10 @@ def index_unique_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
-_WORDS = f"w AS (SELECT item_id, list_filter({_tokens(_clean('text'))}, lambda t: NOT list_contains({_STOP}, t) AND (length(t) >= 3 OR regexp_matches(t, '[0-9]'))) AS words FROM (SELECT item_id, substr(text, 1, 10 + 7 * (item_id % 12)) AS text FROM benchmark))"
+_WORDS = f"w AS (SELECT item_id, list_filter({_tokens(_clean('text'))}, lambda t: NOT list_contains({_STOP}, t) AND (length(t) >= 3 OR regexp_matches(t, '[0-9]'))) AS words FROM benchmark)"
 _MODE = "CASE WHEN len(words) = 0 THEN 'off' WHEN len(list_filter(words, lambda t: regexp_matches(t, '[0-9]'))) > 0 OR len(words) <= 4 THEN 'strict' WHEN len(words) <= 8 THEN 'soft' ELSE 'off' END"
 
 
-def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    """Heads of benchmark items as queries of different lengths."""
-    head = F.substring("text", F.lit(1), (10 + 7 * (F.col("item_id") % 12)).cast("int"))
-    return table(spark, sf, "benchmark").select("item_id", head.alias("query")).withColumn("words", X.distinctive_tokens("query"))
-
-
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     """Whole benchmark items as queries."""
     return table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query")).withColumn("words", X.distinctive_tokens("query"))
@@ -499,28 +441,24 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_WORDS} SELECT item_id, array_to_string(words, ' ') AS words, {_MODE} AS mode FROM w")
 def lexical_mode(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinctive tokens and mode of each query."""
-    return _asked(spark, sf).select("item_id", F.array_join("words", " ").alias("words"), X.lexical_mode("words").alias("mode"))
-
-
-@query()
-def lexical_mode_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Distinctive tokens and mode of each whole item."""
     return _items(spark, sf).select("item_id", F.array_join("words", " ").alias("words"), X.lexical_mode("words").alias("mode"))
 
 
-_HITS = f"{_WORDS}, {_CUES}, h AS (SELECT item_id, episode, pos, words, CAST(len(words) AS INT) AS n, CAST(len(list_filter(words, lambda t: contains(text_clean, t))) AS INT) AS hits FROM cues, w WHERE pos = 1)"
+_HITS = f"{_WORDS}, {_CUES}, h AS (SELECT item_id, episode, pos, words, CAST(len(words) AS INT) AS n, CAST(len(list_filter(words, lambda t: contains(text_clean, t))) AS INT) AS hits FROM cues, w)"
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    rows = cue_rows(spark, sf).filter("pos = 1").crossJoin(F.broadcast(_asked(spark, sf)))  # each stated query against every opening line
-    return rows.select("item_id", "episode", "pos", "words", F.size("words").alias("n"), X.token_hits("words", "text_clean").alias("hits"))
+    """Every cue with every whole item, the stated queries, in blocks of items of a checked size."""
+    cues = cue_rows(spark, sf).select("episode", "pos", "text_clean")
+    pairs = search.against_blocks(cues, _items(spark, sf), "item_id")
+    return pairs.withColumns({"n": F.size("words"), "hits": X.token_hits("words", "text_clean"), "mode": X.lexical_mode("words")})
 
 
-@query(f"WITH {_HITS} SELECT item_id, episode, hits FROM h WHERE hits > 0")
+@query(f"WITH {_HITS} SELECT item_id, episode, pos, hits FROM h WHERE hits > 0")
 def token_hits(spark: SparkSession, sf: str) -> DataFrame:
-    """Opening lines with words of a query."""
-    return _hits(spark, sf).filter("hits > 0").select("item_id", "episode", "hits")
+    """Cues with words of a whole benchmark item."""
+    return _hits(spark, sf).filter("hits > 0").select("item_id", "episode", "pos", "hits")
 
 
 @query(f"""WITH {_HITS}, g AS (SELECT *, {_MODE} AS mode, CASE WHEN n > 0 THEN hits / n ELSE 0 END AS f FROM h)
@@ -529,29 +467,17 @@ count(CASE WHEN mode = 'strict' AND (hits = 0 AND n > 0 OR f >= 0.9 OR hits >= g
 def guardrail_no_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     """The guardrail's sums by query, with the share of words in place of the fuzzy score."""
     fuzzy = F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(0.0)
-    score, note = S.guardrail(F.lit(0.0), X.lexical_mode("words"), F.col("n"), F.col("hits"), fuzzy, S.GuardrailConfig().columns())
+    score, note = S.guardrail(F.lit(0.0), F.col("mode"), F.col("n"), F.col("hits"), fuzzy, S.GuardrailConfig().columns())
     return _hits(spark, sf).withColumn("d", score).withColumn("note", note).groupBy("item_id").agg(F.count("*").alias("n_lines"), F.round(F.sum("d"), 6).alias("total"), F.count("note").alias("noted"))
 
 
-def _every_hit(spark: SparkSession, sf: str) -> DataFrame:
-    """Every cue with every whole item."""
-    rows = cue_rows(spark, sf).select("episode", "pos", "text_clean").crossJoin(F.broadcast(_items(spark, sf)))
-    return rows.withColumns({"n": F.size("words"), "hits": X.token_hits("words", "text_clean"), "mode": X.lexical_mode("words")})
-
-
-@query()
-def token_hits_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Cues with words of a whole benchmark item."""
-    return _every_hit(spark, sf).filter("hits > 0").select("item_id", "episode", "pos", "hits")
-
-
 @query()
 def guardrail_whole(spark: SparkSession, sf: str) -> DataFrame:
     """The guardrail's sums by whole benchmark item over all cues, with the operator's fuzzy score.
 
     Pairs whose result doesn't depend on that score (mode off, or strict without a hit) don't reach the fuzzy match.
     """
-    rows = _every_hit(spark, sf)
+    rows = _hits(spark, sf)
     asks = (F.col("mode") == "soft") | ((F.col("mode") == "strict") & (F.col("hits") > 0))
     fuzzy = S.line_fuzzy(X.clean_cue_text("query"), F.col("text_clean"))
     keep = ["item_id", "mode", "n", "hits", "fuzzy"]
@@ -560,21 +486,12 @@ def guardrail_whole(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("d", score).withColumn("note", note).groupBy("item_id").agg(F.count("*").alias("n_lines"), F.round(F.sum("d"), 6).alias("total"), F.count("note").alias("noted"))
 
 
-@query(f"""WITH {_SCORED}, t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY a DESC, vec_id) <= 50), g AS (SELECT CAST(k AS INT) AS config_id, p, b FROM (SELECT (i - 1) * 2 + j - 1 AS k, ([2.0, 3.0, 4.0])[i] AS p, ([0.5, 0.75])[j] AS b FROM range(1, 4) x(i), range(1, 3) y(j))),
+@query(f"""WITH {_SCORED}, t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY a DESC, vec_id) <= 200), g AS (SELECT CAST(k AS INT) AS config_id, p, b FROM (SELECT (i - 1) * 2 + j - 1 AS k, ([2.0, 3.0, 4.0])[i] AS p, ([0.5, 0.75])[j] AS b FROM range(1, 4) x(i), range(1, 3) y(j))),
 d AS (SELECT config_id, q, vec_id, q_label, label, a, round(a + CASE WHEN vec_id % 4 = 0 THEN -p WHEN vec_id % 4 = 1 THEN b ELSE 0 END, 9) AS z FROM t, g), r AS (SELECT *, row_number() OVER (PARTITION BY config_id, q ORDER BY z DESC, a DESC, vec_id) AS rank FROM d), f AS (SELECT config_id, q, min(rank) FILTER (WHERE label = q_label AND vec_id <> q AND rank <= 5) AS k FROM r GROUP BY 1, 2)
 SELECT config_id, avg(CASE WHEN k <= 5 THEN 1.0 ELSE 0.0 END) + 0.5 * avg(CASE WHEN k <= 1 THEN 1.0 ELSE 0.0 END) AS objective FROM f GROUP BY 1""")
 def guardrail_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Objective of each config of a small grid over candidates that are scored once."""
-    return _grid(spark, _near(spark, sf, 50))
-
-
-@query()
-def guardrail_grid_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """guardrail_grid of every row whose id is divisible by 20."""
-    return _grid(spark, _near(spark, sf, GATE, _WHOLE))
-
-
-def _grid(spark: SparkSession, near: DataFrame) -> DataFrame:
+    near = _near(spark, sf)
     from pyspark.sql import Window
 
     configs = evaluate.grid(spark, {"strict_miss_penalty": [2.0, 3.0, 4.0], "strict_strong_boost": [0.5, 0.75]})
@@ -588,30 +505,29 @@ def _grid(spark: SparkSession, near: DataFrame) -> DataFrame:
     return evaluate.recall(first, ["config_id"]).select("config_id", "objective")
 
 
-@query("""WITH q AS (SELECT item_id, substr(text, 1, 12) AS t FROM benchmark), i AS (SELECT item_id, t, unnest(range(1, length(t) + 1)) AS i FROM q),
-c AS (SELECT item_id, t, i, 0 AS k, substr(t, 1, i - 1) || substr(t, i + 1) AS v FROM i UNION ALL SELECT item_id, t, i, 1, substr(t, 1, i - 1) || substr(t, i + 1, 1) || substr(t, i, 1) || substr(t, i + 2) FROM i WHERE i < length(t)),
-d AS (SELECT *, trim(regexp_replace(lower(v), '\\s+', ' ', 'g')) AS key FROM c WHERE length(v) >= 3), f AS (SELECT * FROM d WHERE key <> trim(regexp_replace(lower(t), '\\s+', ' ', 'g')) QUALIFY row_number() OVER (PARTITION BY item_id, key ORDER BY i, k) = 1)
-SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY i, k) AS INT) AS place, v AS variant FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i, k) <= 6""")
-def typo_variants(spark: SparkSession, sf: str) -> DataFrame:
-    """Deletions and swaps of queries' heads; neighbouring keys are in the unit tests."""
-    rows = table(spark, sf, "benchmark").select("item_id", F.posexplode(evaluate.typo_variants(F.substring("text", 1, 12), 6, {"~": "~"})).alias("place", "variant"))
-    return rows.select("item_id", (F.col("place") + 1).alias("place"), "variant")
+_KEYS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in evaluate.KEY_NEIGHBORS.items()) + "}"
 
 
-@query()
-def typo_variants_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Six typos of each whole item, neighbouring keys among them."""
+@query(f"""WITH q AS (SELECT item_id, text AS t FROM benchmark), i AS (SELECT item_id, t, unnest(range(1, length(t) + 1)) AS i FROM q), n AS (SELECT item_id, t, i, substr(t, i, 1) AS ch, coalesce(element_at({_KEYS}, lower(substr(t, i, 1)))[1], '') AS near FROM i),
+e AS (SELECT *, unnest(range(1, length(near) + 1)) AS j FROM n),
+c AS (SELECT item_id, t, i, 0 AS k, substr(t, 1, i - 1) || substr(t, i + 1) AS v FROM i UNION ALL SELECT item_id, t, i, 1, substr(t, 1, i - 1) || substr(t, i + 1, 1) || substr(t, i, 1) || substr(t, i + 2) FROM i WHERE i < length(t)
+UNION ALL SELECT item_id, t, i, 1 + j, substr(t, 1, i - 1) || CASE WHEN upper(ch) = ch AND lower(ch) <> ch THEN upper(substr(near, j, 1)) ELSE substr(near, j, 1) END || substr(t, i + 1) FROM e),
+d AS (SELECT *, trim(regexp_replace(lower(v), '\\s+', ' ', 'g')) AS key FROM c WHERE length(v) >= 3 AND i <= 12), f AS (SELECT * FROM d WHERE key <> trim(regexp_replace(lower(t), '\\s+', ' ', 'g')) QUALIFY row_number() OVER (PARTITION BY item_id, key ORDER BY i, k) = 1)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY i, k) AS INT) AS place, v AS variant FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i, k) <= 6""")
+def typo_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Six typos of each whole item, neighbouring keys among them; its first places give as many, so SQL stops at twelve."""
     rows = table(spark, sf, "benchmark").select("item_id", F.posexplode(evaluate.typo_variants("text", 6)).alias("place", "variant"))
     return rows.select("item_id", (F.col("place") + 1).alias("place"), "variant")
 
 
-@query(f"""WITH b AS (SELECT item_id, list_distinct({_tokens('text')}) AS t FROM benchmark), d AS (SELECT doc_id, list_distinct({_tokens('text')}) AS t FROM documents)
-SELECT item_id, doc_id, round(len(list_intersect(b.t, d.t)) / (len(b.t) + len(d.t) - len(list_intersect(b.t, d.t))), 6) AS jaccard FROM b, (SELECT doc_id, t FROM d WHERE len(t) > 0) d WHERE len(list_intersect(b.t, d.t)) > 0""")
+@query(f"""WITH b AS (SELECT item_id, list_distinct({_tokens('text')}) AS t FROM benchmark), d AS (SELECT doc_id, list_distinct({_tokens('text')}) AS t FROM documents),
+p AS (SELECT item_id, doc_id, len(list_intersect(b.t, d.t)) / (len(b.t) + len(d.t) - len(list_intersect(b.t, d.t))) AS j FROM b, (SELECT doc_id, t FROM d WHERE len(t) > 0) d WHERE len(list_intersect(b.t, d.t)) > 0)
+SELECT item_id, doc_id, round(j, 6) AS jaccard FROM p QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY j DESC, doc_id) <= 10""")
 def jaccard_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """Token similarity of every benchmark item, the stated queries, with every document."""
-    items = table(spark, sf, "benchmark").select("item_id", F.array_distinct(X.tokens("text")).alias("a"))
-    docs = table(spark, sf, "documents").select("doc_id", F.array_distinct(X.tokens("text")).alias("b")).filter(F.size("b") > 0)
-    return docs.crossJoin(F.broadcast(items)).filter(F.arrays_overlap("a", "b")).select("item_id", "doc_id", F.round(S.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+    """The ten documents of the most similar tokens for every benchmark item, the stated queries, out of all documents."""
+    items = table(spark, sf, "benchmark").select("item_id", X.tokens("text").alias("tokens"))
+    docs = table(spark, sf, "documents").select("doc_id", X.tokens("text").alias("tokens"))
+    return search.jaccard_top(items, docs, 10, "item_id", "doc_id", "tokens").withColumn("jaccard", F.round("jaccard", 6))
 
 
 def _eval_queries(spark: SparkSession, sf: str) -> DataFrame:

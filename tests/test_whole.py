@@ -34,20 +34,20 @@ def capped(spark, n):
 def test_nearest_of_every_twentieth(spark):
     ids, _, asked, scores = vectors(spark)
     want = sorted((ids[k], ids[j]) for k, s in zip(asked, scores, strict=True) for j in sorted(range(len(ids)), key=lambda j: (-s[j], ids[j]))[:20])
-    for name in ("ann_topk_whole", "ann_topk_blocks_whole"):
+    for name in ("ann_topk", "ann_topk_blocks"):
         assert sorted((r.q, r.vec_id) for r in QUERIES[name](spark, SF).collect()) == want
 
 
 def test_capped_of_every_twentieth(spark):
     want = sorted(capped(spark, 200))
-    assert sorted((r.q, r.vec_id, r.label, r.rank) for r in QUERIES["ann_topk_capped_whole"](spark, SF).collect()) == want
-    assert sorted((r.q, r["rank"]) for r in QUERIES["confidence_band_whole"](spark, SF).collect()) == sorted((q, r) for q, _, _, r in want)
+    assert sorted((r.q, r.vec_id, r.label, r.rank) for r in QUERIES["ann_topk_capped"](spark, SF).collect()) == want
+    assert sorted((r.q, r["rank"]) for r in QUERIES["confidence_band"](spark, SF).collect()) == sorted((q, r) for q, _, _, r in want)
     ids, labels, asked, _ = vectors(spark)
     own = {ids[k]: labels[k] for k in asked}
     first = {q: min((r for p, i, label, r in want if p == q and i != q and label == own[q]), default=None) for q in own}
-    got = QUERIES["recall_eval_whole"](spark, SF).first()
+    got = QUERIES["recall_eval"](spark, SF).first()
     assert got.n == len(own) and abs(got.mrr - np.mean([1 / r if r else 0 for r in first.values()])) < 1e-6
-    assert QUERIES["guardrail_grid_whole"](spark, SF).count() == 6
+    assert QUERIES["guardrail_grid"](spark, SF).count() == 6
 
 
 def talk(spark, path, n):
@@ -81,7 +81,7 @@ def test_partial_ratios_in_blocks():
 def test_gate_lets_other_labels_in(spark, tmp_path):
     rows = [(i, [1 - i / 1000], 0 if i < 150 else i) for i in range(300)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = QUERIES["ann_topk_capped_whole"](spark, str(tmp_path)).filter("q = 0").orderBy("rank").collect()
+    got = QUERIES["ann_topk_capped"](spark, str(tmp_path)).filter("q = 0").orderBy("rank").collect()
     assert [r.vec_id for r in got] == [0, 1, 150, 151, 152]
 
 
@@ -108,7 +108,7 @@ def items(spark, path):
 def test_hits_of_all_cues_and_whole_items(spark, tmp_path):
     words, texts, lines = items(spark, tmp_path)
     hits = {(i, c, k): sum(w in t for w in ws) for i, ws in enumerate(words) for c, k, _, t in lines}
-    got = QUERIES["token_hits_whole"](spark, str(tmp_path)).collect()
+    got = QUERIES["token_hits"](spark, str(tmp_path)).collect()
     assert sorted((r.item_id, r.episode, r.pos, r.hits) for r in got) == sorted((*key, n) for key, n in hits.items() if n)
     want = {0: 0.0, 1: 0.0, 2: 0.0}
     for (i, c, k), n in hits.items():
@@ -136,15 +136,15 @@ def typos(q):
 def test_typos_and_modes_of_whole_items(spark, tmp_path):
     words, texts, _ = items(spark, tmp_path)
     got = {}
-    for r in QUERIES["typo_variants_whole"](spark, str(tmp_path)).orderBy("item_id", "place").collect():
+    for r in QUERIES["typo_variants"](spark, str(tmp_path)).orderBy("item_id", "place").collect():
         got.setdefault(r.item_id, []).append(r.variant)
     assert got == {i: typos(t) for i, t in enumerate(texts)} and any(v.startswith("rhe") for v in got[0])
-    modes = sorted(tuple(r) for r in QUERIES["lexical_mode_whole"](spark, str(tmp_path)).select("item_id", "words", "mode").collect())
+    modes = sorted(tuple(r) for r in QUERIES["lexical_mode"](spark, str(tmp_path)).select("item_id", "words", "mode").collect())
     assert modes == [(i, " ".join(w), m) for i, (w, m) in enumerate(zip(words, ("strict", "soft", "off"), strict=True))]
 
 
 def test_speakers_of_every_line(spark, tmp_path):
     rows = [(1, 0, "user", "hello\nLANA: what?\nno name"), (1, 1, "assistant", "one")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = sorted(tuple(r) for r in QUERIES["speaker_extract_whole"](spark, str(tmp_path)).select("turn", "line_no", "speaker", "body").collect())
+    got = sorted(tuple(r) for r in QUERIES["speaker_extract"](spark, str(tmp_path)).select("turn", "line_no", "speaker", "body").collect())
     assert got == [(0, 0, "User", "hello"), (0, 1, "Lana", "what?"), (0, 2, None, "no name"), (1, 0, "Assistant", "one")]
