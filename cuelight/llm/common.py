@@ -53,7 +53,7 @@ def modest_batches(spark: SparkSession) -> SparkSession:
     stays.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, str(1 << 62)).rstrip("b")) > BATCH_BYTES:
+    if int(spark.conf.get(key).removesuffix("b")) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
     return spark
 

@@ -230,13 +230,19 @@ def choose_boundary(sizes: dict[int, int], extra: float, percent: int) -> int:
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
     """Sizes of the intersections of every left and right set; of left sets with each other if right is None."""
     sets = left + (right or [])
-    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    of, column = of[shared], column[shared]
-    _, column = np.unique(column, return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    of, column = of[order], column[order]
+    flat = np.concatenate(sets)
+    order = np.argsort(flat)
+    of = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[order]
+    flat = flat[order]
+    del order
+    same = flat[1:] == flat[:-1]
+    del flat
+    new, shared = np.ones(len(of), bool), np.zeros(len(of), bool)
+    new[1:] = ~same
+    shared[1:] = same
+    shared[:-1] |= same
+    of, column = of[shared], np.cumsum(new[shared], dtype=np.int32) - 1
+    del same, new, shared
     width = max(256, min(8192, (4 << 20) // max(1, len(sets))))
     m = len(left)
     total = np.zeros((m, m if right is None else len(right)), np.float32)
