@@ -14,9 +14,10 @@ from cuelight.sources import subtitles, tables
 def ingest(spark: SparkSession, root: str, out: str, only_valid: bool = True, width: int = 5, titles: DataFrame | None = None, overrides: DataFrame | None = None) -> dict[str, DataFrame]:
     """Parse all files below root once and write episodes, audit, cues, chunks and manifest below out.
 
-    only_valid leaves out files whose status isn't valid_srt. titles(show_id, show_title) names shows.
+    Gzip and zip wrappers come off first. only_valid leaves out files whose status isn't valid_srt, which
+    corpus.skipped(audit) counts. titles(show_id, show_title) names shows.
     """
-    subtitles.parse_episodes(subtitles.scan_srt(spark, root)).write.mode("overwrite").parquet(f"{out}/episodes")
+    subtitles.parse_episodes(subtitles.unwrapped(subtitles.scan_srt(spark, root))).write.mode("overwrite").parquet(f"{out}/episodes")
     episodes = spark.read.parquet(f"{out}/episodes")
     audit = corpus.audit(episodes)
     audit.write.mode("overwrite").parquet(f"{out}/audit")

@@ -94,9 +94,13 @@ def html_wrapper(content: Column | str) -> Column:
     return out
 
 
-def file_status(size: Column, html: Column, n_dialogue: Column, least: int = 50) -> Column:
-    """First of empty, html_wrapper, no_dialogue_cues and low_cue_count that holds, else valid_srt."""
-    return F.when(size == 0, "empty").when(html, "html_wrapper").when(n_dialogue == 0, "no_dialogue_cues").when(n_dialogue < least, "low_cue_count").otherwise("valid_srt")
+def file_status(size: Column, html: Column, n_dialogue: Column, least: int = 50, undecodable: Column | None = None) -> Column:
+    """First of empty, html_wrapper, encoding_error, no_dialogue_cues and low_cue_count that holds, else valid_srt.
+
+    decode_text() reads any bytes, so that `undecodable` is for callers with a stricter reader or a wrapper without text.
+    """
+    broken = F.lit(False) if undecodable is None else F.coalesce(undecodable, F.lit(False))
+    return F.when(size == 0, "empty").when(html, "html_wrapper").when(broken, "encoding_error").when(n_dialogue == 0, "no_dialogue_cues").when(n_dialogue < least, "low_cue_count").otherwise("valid_srt")
 
 
 def decode_text(content: Column | str) -> Column:

@@ -43,7 +43,7 @@ def distribution(df: DataFrame, value: str, keys: Sequence[str] = (), ranks: Seq
 
     The p-th percentile is the value at place floor(p * n) of the sorted ones, the last at most. Places come from
     the running sum of counts of distinct values, so that no task holds all values; a key's distinct values meet in
-    one task. No rows give no row.
+    one task. Without keys, no rows give a row of zeros.
     """
     counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
     by = Window.partitionBy(*keys)
@@ -54,7 +54,12 @@ def distribution(df: DataFrame, value: str, keys: Sequence[str] = (), ranks: Seq
     n = F.max("_n")
     mean = total / n
     out = placed.groupBy(*keys).agg(n.alias("count"), F.round(mean, 2).alias("mean"), F.round(F.sqrt(F.greatest(F.lit(0.0), square / n - mean * mean)), 2).alias("stdev"), F.min("_v").alias("min"), *[at(p).alias(f"p{round(p * 100)}") for p in ranks], F.max("_v").alias("max"))
-    return out.filter("count IS NOT NULL")
+    return out if keys else out.fillna(0)
+
+
+def skipped(audit: DataFrame, keep: str = "valid_srt") -> DataFrame:
+    """(total, skipped): files, and those whose status leaves them out."""
+    return audit.agg(F.count("*").alias("total"), F.count_if(~F.col("status").eqNullSafe(F.lit(keep))).alias("skipped"))
 
 
 def pct_over(value: Column, limit: int) -> Column:

@@ -42,6 +42,27 @@ def season_or_any(df: DataFrame, season: int, column: str = "expected_season") -
     return df.filter(F.col(column).isNull() | (F.col(column) == season))
 
 
+def show_filter(df: DataFrame, shows: Sequence[str] | None, column: str = "show_id") -> DataFrame:
+    """Rows of the named shows; all rows if none is named."""
+    return df.filter(F.col(column).isin(list(shows))) if shows else df
+
+
+def sorted_seasons(df: DataFrame) -> DataFrame:
+    """(season): the distinct seasons in order, without null."""
+    return df.filter("season IS NOT NULL").select("season").distinct().orderBy("season")
+
+
+def in_order(df: DataFrame, position: str = "cue_index") -> DataFrame:
+    """Cues or chunks by show, season, episode and position, missing seasons and episodes as 0; ranges of rows sort apart."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return df.orderBy("show_id", zero("season"), zero("episode"), position)
+
+
+def repeated_keys(df: DataFrame, key: str) -> DataFrame:
+    """(key, count) of keys that are there more than once."""
+    return df.groupBy(key).count().filter("count > 1")
+
+
 def not_downloaded(wanted: DataFrame, listing: DataFrame, key: str, least_bytes: int = 50) -> DataFrame:
     """Wanted rows without a file of more than so many bytes."""
     return wanted.join(listing.filter(F.col("length") > least_bytes), key, "left_anti")
@@ -49,7 +70,7 @@ def not_downloaded(wanted: DataFrame, listing: DataFrame, key: str, least_bytes:
 
 def assert_unique(df: DataFrame, key: str) -> DataFrame:
     """df, if no key is there twice; raises with some that are."""
-    twice = df.groupBy(key).count().filter("count > 1").limit(5).collect()
+    twice = repeated_keys(df, key).limit(5).collect()
     if twice:
         raise ValueError(f"{key} is not unique: {[r[key] for r in twice]}")
     return df

@@ -7,6 +7,7 @@ subtitle bodies of a show (source); embeddings are index vectors whose label is
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _shared(spark: SparkSession, name: str) -> str:
+    """A fresh folder where the session keeps what all machines share; a temporary one in local mode without such."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="cuelight-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cue_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations in the shape of cues."""
     null = F.lit(None).cast("string")
@@ -276,6 +287,41 @@ def season_filter(spark: SparkSession, sf: str) -> DataFrame:
     return relational.season_filter(cue_rows(spark, sf), least=1, most=8, among=[1, 3, 8]).select("episode", "pos")
 
 
+@query("SELECT doc_id, source FROM documents WHERE source IN (SELECT DISTINCT source FROM documents ORDER BY source LIMIT 2)")
+def show_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of the first two sources, which stand for shows."""
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    shows = [r.source for r in docs.select("source").distinct().orderBy("source").limit(2).collect()]
+    return relational.show_filter(docs, shows, "source")
+
+
+@query(f"WITH {_CUES} SELECT DISTINCT season FROM cues")
+def sorted_seasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Seasons in order."""
+    return relational.sorted_seasons(cue_rows(spark, sf))
+
+
+@query(f"WITH {_CUES} SELECT season, episode, pos FROM cues ORDER BY show_id, season, episode, pos")
+def cues_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Cues by place."""
+    return relational.in_order(cue_rows(spark, sf), "pos").select("season", "episode", "pos")
+
+
+@query(f"WITH {_CUES}, f AS (SELECT source_path, CASE WHEN count(*) < 5 THEN 'low_cue_count' ELSE 'valid_srt' END AS status FROM (SELECT 'c' || episode AS source_path FROM cues) GROUP BY 1) SELECT count(*) AS total, count(*) FILTER (WHERE status <> 'valid_srt') AS skipped FROM f")
+def skipped_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files, and those that are left out for their few cues."""
+    files = cue_rows(spark, sf).groupBy("source_path").agg(X.file_status(F.lit(1), F.lit(False), F.count("*"), 5).alias("status"))
+    return corpus.skipped(files)
+
+
+@query("SELECT event_id, CASE WHEN k = 0 THEN 'empty' WHEN k = 1 THEN 'html_wrapper' WHEN k = 2 THEN 'encoding_error' WHEN k = 3 THEN 'no_dialogue_cues' WHEN k < 53 THEN 'low_cue_count' ELSE 'valid_srt' END AS status FROM (SELECT event_id, event_id % 60 AS k FROM events)")
+def file_status_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Every status a file can have."""
+    k = F.col("event_id") % 60
+    status = X.file_status(F.when(k == 0, 0).otherwise(9), k <= 1, F.greatest(k - 3, F.lit(0)), 50, k <= 2)
+    return table(spark, sf, "events").select("event_id", status.alias("status"))
+
+
 @query("SELECT item_id, CASE WHEN item_id % 3 > 0 THEN CAST(item_id % 3 AS INT) END AS expected_season FROM benchmark WHERE item_id % 3 = 0 OR item_id % 3 = 2")
 def season_or_any(spark: SparkSession, sf: str) -> DataFrame:
     """Queries of a season or of none."""
@@ -426,7 +472,7 @@ def index_merge(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT o_custkey AS custkey, count(*) AS count FROM orders GROUP BY 1 HAVING count(*) > 1")
 def index_unique_check(spark: SparkSession, sf: str) -> DataFrame:
     """Keys that are there more than once."""
-    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("custkey")).count().filter("count > 1")
+    return relational.repeated_keys(table(spark, sf, "orders").withColumnRenamed("o_custkey", "custkey"), "custkey")
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
@@ -700,8 +746,9 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     static = table(spark, sf, "events")
     live = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     counts = stream.window_counts(live, "ts", "event_type", "1 hour", late="40 days")
-    name = "event_stream_" + next(tempfile._get_candidate_names())
-    job = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    folder = _shared(spark, "event-stream")
+    # Each batch replaces the counts so far; they stay in the shared folder and don't pass through the driver.
+    replace = lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/counts")
+    job = counts.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     job.awaitTermination()
-    return _naive(spark.table(name)).select("window_start", "event_type", "n")
-
+    return _naive(spark.read.parquet(f"{folder}/counts")).select("window_start", "event_type", "n")

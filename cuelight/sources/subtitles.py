@@ -62,6 +62,16 @@ def unwrap(content: Column | str) -> Column:
     return F.pandas_udf(_unwrap, "binary")(content)
 
 
+def unwrapped(files: DataFrame) -> DataFrame:
+    """files(content) with gzip and zip wrappers taken off; content that isn't wrapped doesn't leave the JVM.
+
+    A zip without a subtitle has null content.
+    """
+    magic = F.hex(F.substring("content", 1, 2))
+    wrapped = F.coalesce(magic.isin("1F8B", "504B"), F.lit(False))
+    return files.filter(~wrapped).unionByName(files.filter(wrapped).withColumn("content", unwrap("content")))
+
+
 def parse_blocks(text: Column) -> Column:
     """Blocks of a subtitle text in order: struct(block, cue_index, start_ms, end_ms, text_raw, error)."""
     body = X.strip(F.regexp_replace(F.regexp_replace(text, "﻿", ""), "\r\n?", "\n"))

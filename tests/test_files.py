@@ -200,3 +200,25 @@ def test_graph_documents(spark):
         text = document if document is None or isinstance(document, str) else json.dumps(document)
         got = pages.walk_graph(spark.createDataFrame([(text,)], "document string"), "9").collect()
         assert sorted(map(tuple, got)) == want, document
+
+
+def test_no_values_have_a_row_of_zeros(spark):
+    empty = spark.range(0).withColumnRenamed("id", "x")
+    assert set(corpus.distribution(empty, "x").first()) == {0}
+    assert corpus.distribution(empty.withColumn("k", F.lit(1)), "x", ["k"]).count() == 0
+
+
+def test_wrappers_come_off(spark):
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a.srt", "zipped")
+    rows = [(1, bytearray(b"plain")), (2, bytearray(gzip.compress(b"gzipped"))), (3, bytearray(packed.getvalue())), (4, None), (5, bytearray(b""))]
+    got = {r.k: r.content and bytes(r.content) for r in subtitles.unwrapped(spark.createDataFrame(rows, "k int, content binary")).collect()}
+    assert got == {1: b"plain", 2: b"gzipped", 3: b"zipped", 4: None, 5: bytearray(b"")}
+
+
+def test_more_than_ninety_nine_variants(spark):
+    q = spark.createDataFrame([("a", "exact", "q")], "query_id string, category string, query string")
+    memory = spark.createDataFrame([("a", [f"variant number {i}" for i in range(120)])], "query_id string, variants array<string>")
+    ids = [r.query_id for r in evaluate.expand_queries(q, memory, typos=False).collect()]
+    assert len(ids) == len(set(ids)) == 121 and {"a", "a_m01", "a_m120"} <= set(ids)
