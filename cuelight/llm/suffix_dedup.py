@@ -59,16 +59,21 @@ def find_runs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     sums = prefix_hash(raw)
     places = np.arange(n - GRAM + 1)
     grams = span_hash(sums, places, places + GRAM)
-    bits = np.uint64(max(16, int(n).bit_length()))
-    least = ((grams >> bits) << bits) | places.astype(np.uint64)
     width = LENGTH - GRAM + 1
+
+    def lesser(h: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Least hash, and its first place, of each span and the one that begins k later."""
+        later = h[k:] < h[:-k]
+        return np.where(later, h[k:], h[:-k]), np.where(later, p[k:], p[:-k])
+
+    least, anchor = grams, places.astype(np.int32)
     step = 1
     while step * 2 <= width:
-        least = np.minimum(least[:-step], least[step:])
+        least, anchor = lesser(least, anchor, step)
         step *= 2
     if width > step:
-        least = np.minimum(least[: len(least) - (width - step)], least[width - step :])
-    anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        least, anchor = lesser(least, anchor, width - step)
+    anchor = anchor.astype(np.int64)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     starts = np.flatnonzero(row[: n - LENGTH + 1] == row[LENGTH - 1 :])
     if not len(starts):

@@ -6,8 +6,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cuelight.llm import suffix_dedup
+from cuelight.llm.common import prefix_hash, span_hash
 from cuelight.llm.suffix_array import permuted_common_prefixes, suffix_array
-from cuelight.llm.suffix_dedup import remove_repeats
+from cuelight.llm.suffix_dedup import GRAM, LENGTH, find_runs, remove_repeats
 
 SCHEMA = "doc_id long, text string, id string, key string"
 
@@ -95,3 +96,22 @@ def test_shared_ids_and_empty_table(spark):
     twins = [g for g in got if g[1] == 400 and g[0] == 1]
     assert twins[0] == twins[1] and {g[2] for g in got[:3]} in ({0, 400}, {400, 0})
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_anchors_do_not_depend_on_what_surrounds_them():
+    """A window has the same anchor in a short chunk as in a long one, with whole hashes that differ late."""
+    rng = np.random.default_rng(3)
+    own = rng.integers(97, 123, 400).astype(np.uint8)
+    wide = np.concatenate([rng.integers(97, 123, 30_000).astype(np.uint8), own, rng.integers(97, 123, 30_000).astype(np.uint8)])
+    _, s, n, off, key, content = find_runs(own, np.array([0, len(own)]))
+    runs = {(int(x), int(y)): (int(o), int(k)) for x, y, o, k in zip(s, n, off, key, strict=True)}
+    at = np.array([0, 30_000, 30_400, len(wide)])
+    row, s2, n2, off2, key2, content2 = find_runs(wide, at)
+    inner = row == 1
+    assert {(int(x) - 30_000, int(y)): (int(o), int(k)) for x, y, o, k in zip(s2[inner], n2[inner], off2[inner], key2[inner], strict=True)} == runs
+    assert content2[inner].tolist() == content.tolist()
+    sums = prefix_hash(own)
+    for x, y, o in zip(s.tolist(), n.tolist(), off.tolist(), strict=True):
+        for w in range(x, x + y):
+            grams = [int(span_hash(sums, np.array([g]), np.array([g + GRAM]))[0]) for g in range(w, w + LENGTH - GRAM + 1)]
+            assert w + grams.index(min(grams)) == x + o
