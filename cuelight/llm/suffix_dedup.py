@@ -2,9 +2,9 @@
 
 A window is a string of `LENGTH` bytes. Its anchor is its least gram of GRAM bytes by hash, so that equal windows
 have equal anchors at equal places. Neighbouring windows with the same anchor form a run, about 1 / 40 of the bytes.
-Runs of equal content are settled by hash: all but the earliest are repeats, most of them before any shuffle, since
-a chunk of documents keeps the earliest of its own. Runs with the same anchor and other content, which is where
-repeats begin and end, go to the shard of their anchor. A suffix array of a shard's runs, by induced sorting, and
+Runs of equal content are settled by hash, each content for itself: all but the earliest are repeats, most of them
+before any shuffle, since a task keeps the earliest of what it meets again and again. Runs with the same anchor and
+other content, which is where repeats begin and end, go to the shard of their anchor. A suffix array of a shard's runs, by induced sorting, and
 its permuted common prefixes give the classes of equal windows there.
 """
 
@@ -22,6 +22,10 @@ from cuelight.llm.common import chunks, lean, modest_batches, prefix_hash, span_
 from cuelight.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 24
+#: Runs that a task holds back to settle them against its next documents; bounds memory, not results.
+HELD_RUNS = 1 << 14
+#: Parts of an anchor's contents, one bit each, that are joined apart with what is known of the anchor.
+SALTS = 64
 #: Anchors with more contents than this are split by the bytes beside the anchor, for windows that hold those.
 HOT_CONTENTS = 1000
 #: Text in one suffix array, but for a shard's single larger group.
@@ -97,52 +101,71 @@ def _first_of_each(content: np.ndarray, ids: np.ndarray, twin: np.ndarray, start
 
 
 def _run_rows(unique: bool) -> Callable:
+    """Runs of texts. Contents that a task meets again are settled in it, so that a frequent one leaves it as one row."""
+
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 7
         for batch in chunks(batches):
             raw, at = text_bytes(batch.column("text"))
             row, s, n, off, key, content = find_runs(raw, at)
             if not len(row):
                 continue
-            ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)[row]
-            twin = np.zeros(len(row), np.int64) if unique else span_hash(prefix_hash(raw), at[:-1], at[1:]).view(np.int64)[row]
-            start = s - at[row]
+            doc = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)[row]
+            text = np.zeros(len(row), np.int64) if unique else span_hash(prefix_hash(raw), at[:-1], at[1:]).view(np.int64)[row]
+            every = [np.concatenate(x) for x in zip(held, (key, content, doc, text, s - at[row], n, off), strict=True)]
+            _, content, ids, twin, start, n, _ = every
             first, later = _first_of_each(content, ids, twin, start)
-            yield _batch(np.full(len(first), RUN), key[first], content[first], ids[first], twin[first], start[first], n[first], off[first])
             if len(later):
                 yield _merged(ids[later], twin[later], start[later], n[later])
+            by_use = first[np.lexsort((first, np.isin(content[first], content[later])))]  # what was met again last, newer ones after older
+            gone = by_use[:-HELD_RUNS]
+            if len(gone):
+                yield _batch(np.full(len(gone), RUN), *(x[gone] for x in every))
+            held = [x[by_use[-HELD_RUNS:]] for x in every]
+        if len(held[0]):
+            yield _batch(np.full(len(held[0]), RUN), *held)
 
     return lean(runs)
 
 
-def _settle(hot: int) -> Callable:
-    """Of a partition by anchor: repeats of whole runs, and one run of each content where an anchor has several."""
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            kind = b.column("kind").to_numpy()
-            if (kind == REPEAT).any():
-                yield b.filter(pa.array(kind == REPEAT))
-            held.append(b.filter(pa.array(kind == RUN)))
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        del held
-        key, content, ids, twin, start, n, off = (table.column(c).to_numpy() for c in _NAMES[1:])
-        first, later = _first_of_each(content, ids, twin, start)
-        if len(later):
-            yield _merged(ids[later], twin[later], start[later], n[later])
-        first = first[np.argsort(key[first], kind="stable")]
-        _, count = np.unique(key[first], return_counts=True)
-        contents = np.repeat(count, count)
-        edge = first[contents > 1]
-        kinds = np.where(contents[contents > 1] > hot, HOT_EDGE, EDGE)
-        if len(edge):
-            yield _batch(kinds, key[edge], content[edge], ids[edge], twin[edge], start[edge], n[edge], off[edge])
-
-    return lean(settle)
+@lean
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition by anchor and content: repeats of whole runs, and the earliest run of each content."""
+    held = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        kind = b.column("kind").to_numpy()
+        if (kind == REPEAT).any():
+            yield b.filter(pa.array(kind == REPEAT))
+        held.append(b.filter(pa.array(kind == RUN)))
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    del held
+    every = [table.column(c).to_numpy() for c in _NAMES[1:]]
+    _, content, ids, twin, start, n, _ = every
+    first, later = _first_of_each(content, ids, twin, start)
+    if len(later):
+        yield _merged(ids[later], twin[later], start[later], n[later])
+    if len(first):
+        yield _batch(np.full(len(first), RUN), *(x[first] for x in every))
+
+
+def _edges(settled: DataFrame) -> DataFrame:
+    """Earliest runs whose anchor has other contents too, as EDGE or, beyond HOT_CONTENTS of them, HOT_EDGE.
+
+    Contents are counted in part before the shuffle, and an anchor's runs are joined with the count in SALTS parts.
+    """
+    first = settled.filter(F.col("kind") == RUN)
+    salt = F.pmod(F.col("content"), F.lit(SALTS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), salt)
+    counted = first.groupBy("key").agg(F.count("*").alias("contents"), F.bit_or(bit).alias("salts")).filter("contents > 1")
+    kind = F.when(F.col("contents") > HOT_CONTENTS, HOT_EDGE).otherwise(EDGE).alias("kind")
+    parts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.call_function("getbit", F.col("salts"), i) == 1)
+    several = written(counted.select("key", kind, F.explode(parts).alias("salt")), "several-contents")
+    maybe, _ = split_by_sketch(first, "key", several.select("key"))
+    return maybe.drop("kind").withColumn("salt", salt).join(several, ["key", "salt"])
 
 
 def _fetch(unique: bool) -> Callable:
@@ -276,8 +299,8 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), "text")
     unique = rows.groupBy("id").count().filter("count > 1").limit(1).count() == 0
     runs = rows.select(F.col("id").alias("doc_id"), "text").mapInArrow(_run_rows(unique), _ROWS)
-    settled = written(runs.repartition("key").mapInArrow(_settle(HOT_CONTENTS), _ROWS), "settled-runs")
-    edges = settled.filter(F.col("kind") >= EDGE).groupBy("id", "twin").agg(F.collect_list(F.struct("key", "start", "n", "off", "kind")).alias("edges"))
+    settled = written(runs.repartition("key", "content").mapInArrow(_settle, _ROWS), "settled-runs")
+    edges = _edges(settled).groupBy("id", "twin").agg(F.collect_list(F.struct("key", "start", "n", "off", "kind")).alias("edges"))
     edges = written(edges, "edge-runs")
     maybe, _ = split_by_sketch(rows, "id", edges.select("id"))
     fetched = maybe.join(edges, "id").mapInArrow(_fetch(unique), "key long, id long, twin long, start long, n long, bytes binary")

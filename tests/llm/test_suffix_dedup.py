@@ -2,11 +2,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cuelight.llm import suffix_dedup
-from cuelight.llm.common import prefix_hash, span_hash
+from cuelight.llm.common import prefix_hash, span_hash, text_bytes
 from cuelight.llm.suffix_array import permuted_common_prefixes, suffix_array
 from cuelight.llm.suffix_dedup import GRAM, LENGTH, find_runs, remove_repeats
 
@@ -81,12 +82,39 @@ def test_like_brute_force(spark):
 
 
 def test_split_hot_anchors(spark, monkeypatch):
-    settle = suffix_dedup._settle
-    monkeypatch.setattr(suffix_dedup, "_settle", lambda hot: settle(1))
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTENTS", 1)
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 500)
     check(spark, corpus(2))
 
 
+def test_frequent_contents_leave_a_task_once():
+    """A line of every chunk is one run row of a task, and what a task can't hold is left to the shuffle."""
+    rng = random.Random(6)
+    line = "".join(rng.choice("abcdefgh") for _ in range(100))
+    texts = [line + "".join(rng.choice("ijklmnop") for _ in range(3000)) for _ in range(30)]
+    whole = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": [t]}) for i, t in reversed(list(enumerate(texts)))]
+    for held in (50, 1 << 14):
+        suffix_dedup.HELD_RUNS, before = held, suffix_dedup.HELD_RUNS
+        try:
+            rows = pa.Table.from_batches(suffix_dedup._run_rows(True)(iter(whole))).to_pylist()
+        finally:
+            suffix_dedup.HELD_RUNS = before
+        contents = {}
+        for r in rows:
+            if r["kind"] == suffix_dedup.RUN:
+                contents.setdefault(r["content"], []).append(r)
+        every = {}
+        for i, t in enumerate(texts):
+            _, s, n, _, _, content = find_runs(*text_bytes(pa.array([t])))
+            for a, k, c in zip(s.tolist(), n.tolist(), content.tolist(), strict=True):
+                every.setdefault(c, []).append((i, a, k))
+        assert contents.keys() == every.keys()
+        for c, got in every.items():
+            assert min((r["id"], r["start"], r["n"]) for r in contents[c]) == min(got)
+            if held > 50:
+                assert len(contents[c]) == 1
+
+
 def test_shared_ids_and_empty_table(spark):
     rng = random.Random(4)
     text = "".join(rng.choice("abcdefgh") for _ in range(400))
