@@ -91,13 +91,19 @@ def find_runs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _first_of_each(content: np.ndarray, ids: np.ndarray, twin: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the earliest row of each content, and of rows that are later than it."""
-    order = np.lexsort((start, twin, ids, content))
+    """Indices of the earliest row of each content, those of several rows last, and of rows that are later than it."""
+    by = np.argsort(content)
+    same = content[by[1:]] == content[by[:-1]]
+    several = np.zeros(len(by), bool)
+    several[1:] |= same
+    several[:-1] |= same
+    some = by[several]
+    order = some[np.lexsort((start[some], twin[some], ids[some], content[some]))]
     new = np.ones(len(order), bool)
     new[1:] = content[order][1:] != content[order][:-1]
     first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
     later = (ids[order] != ids[first]) | (twin[order] != twin[first]) | (start[order] != start[first])
-    return order[new], order[later]
+    return np.concatenate([np.sort(by[~several]), order[new]]), order[later]
 
 
 def _run_rows(unique: bool) -> Callable:
@@ -117,11 +123,10 @@ def _run_rows(unique: bool) -> Callable:
             first, later = _first_of_each(content, ids, twin, start)
             if len(later):
                 yield _merged(ids[later], twin[later], start[later], n[later])
-            by_use = first[np.lexsort((first, np.isin(content[first], content[later])))]  # what was met again last, newer ones after older
-            gone = by_use[:-HELD_RUNS]
+            gone = first[:-HELD_RUNS]  # older ones that were not met again
             if len(gone):
                 yield _batch(np.full(len(gone), RUN), *(x[gone] for x in every))
-            held = [x[by_use[-HELD_RUNS:]] for x in every]
+            held = [x[first[-HELD_RUNS:]] for x in every]
         if len(held[0]):
             yield _batch(np.full(len(held[0]), RUN), *held)
 
