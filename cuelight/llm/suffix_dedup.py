@@ -54,6 +54,23 @@ def _merged(ids: np.ndarray, twin: np.ndarray, start: np.ndarray, n: np.ndarray)
     return _batch(zero + REPEAT, ids[begin], zero, ids[begin], twin[begin], start[begin], total, zero)
 
 
+def first_least(x: np.ndarray, width: int) -> np.ndarray:
+    """First place of the least number in each span of `width` unsigned numbers; there is one span at least."""
+    wide = np.full(-(-len(x) // width) * width, np.iinfo(x.dtype).max, x.dtype)
+    wide[: len(x)] = x
+    blocks = wide.reshape(-1, width)
+    until = np.minimum.accumulate(blocks, axis=1).ravel()
+    since = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    n = len(x) - width + 1
+    least = np.minimum(since[:n], until[width - 1 : width - 1 + n])  # a span is the end of a block and the start of the next
+    moved = np.ones(n, bool)  # elsewhere the place is that of the span before
+    moved[1:] = (least[1:] != least[:-1]) | (x[: n - 1] == least[:-1])
+    at = np.flatnonzero(moved)
+    spans = np.lib.stride_tricks.sliding_window_view(x, width)
+    place = np.concatenate([at[i : i + 4096] + spans[at[i : i + 4096]].argmin(axis=1) for i in range(0, len(at), 4096)])
+    return np.repeat(place, np.diff(np.append(at, n)))
+
+
 def find_runs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     """Row, start, number of windows, anchor's place after the start, anchor and content hash of each run."""
     n = len(raw)
@@ -63,21 +80,7 @@ def find_runs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     sums = prefix_hash(raw)
     places = np.arange(n - GRAM + 1)
     grams = span_hash(sums, places, places + GRAM)
-    width = LENGTH - GRAM + 1
-
-    def lesser(h: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Least hash, and its first place, of each span and the one that begins k later."""
-        later = h[k:] < h[:-k]
-        return np.where(later, h[k:], h[:-k]), np.where(later, p[k:], p[:-k])
-
-    least, anchor = grams, places.astype(np.int32)
-    step = 1
-    while step * 2 <= width:
-        least, anchor = lesser(least, anchor, step)
-        step *= 2
-    if width > step:
-        least, anchor = lesser(least, anchor, width - step)
-    anchor = anchor.astype(np.int64)
+    anchor = first_least(grams, LENGTH - GRAM + 1)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     starts = np.flatnonzero(row[: n - LENGTH + 1] == row[LENGTH - 1 :])
     if not len(starts):

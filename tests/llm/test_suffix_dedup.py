@@ -28,6 +28,13 @@ def test_suffix_array(data):
         assert common[b] == k
 
 
+@given(st.lists(st.integers(0, 6) | st.just(2**64 - 1), min_size=1, max_size=60), st.integers(1, 12))
+def test_first_least(values, width):
+    width = min(width, len(values))
+    got = suffix_dedup.first_least(np.array(values, np.uint64), width)
+    assert got.tolist() == [i + min(range(width), key=lambda k: values[i + k]) for i in range(len(values) - width + 1)]
+
+
 def brute(docs, length):
     seen, out = {}, []
     order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is not None, docs[i][0] or 0))
