@@ -6,7 +6,9 @@ prefixes are one longer. Small sets enumerate the 2-subsets of their prefixes an
 scan the inverted lists of their prefixes' shingles. The boundary in size is where the sum of both costs is least.
 
 Shingles in many sets (heavy ones) come last in the order, so that passages which many documents share don't lead
-their prefixes. Sets that still share heavy shingles, such as families of near copies, go to a common cluster.
+their prefixes. Sets that still have heavy shingles there are ordered once more among themselves, by all of their
+shingles rather than a share; those that share heavy ones even then, such as families of near copies, go to a common
+cluster. Without that, passages would chain unlike sets to clusters that grow with the table, and blocks with its square.
 Candidates from lists are pruned by what their prefixes can still reach. The clusters that candidates form are
 verified with whole sets as blocks of a matrix product, and only what connects them is returned: no task holds an
 unbounded group and no pairs are listed within one.
@@ -37,6 +39,7 @@ BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_500_000
 _LOWER, _WORD = lower_ascii(), not_space()
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64((1 << 64) // LOW_SHARE)
+_ALL = np.uint64((1 << 64) - 1)
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -92,27 +95,32 @@ def _sets(size: int, percent: int) -> Callable:
     return lean(build)
 
 
-@lean
-def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        tokens = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint64)
-        there, times = np.unique(tokens[tokens < _LOW], return_counts=True)
-        for k in range(0, len(there), 1 << 18):
-            yield pa.RecordBatch.from_pydict({"token": pa.array(there[k : k + (1 << 18)].view(np.int64)), "c": pa.array(times[k : k + (1 << 18)].astype(np.int64))})
+def _token_counts(bound: np.uint64) -> Callable:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint64)
+            there, times = np.unique(tokens[tokens < bound], return_counts=True)
+            for k in range(0, len(there), 1 << 18):
+                yield pa.RecordBatch.from_pydict({"token": pa.array(there[k : k + (1 << 18)].view(np.int64)), "c": pa.array(times[k : k + (1 << 18)].astype(np.int64))})
+
+    return lean(count)
 
 
-def _ordered(low: bytes, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of a set in the common order: light low ones, heavy low ones, the others; and which are heavy."""
+def _ordered(low: bytes, heavy: np.ndarray, place: np.ndarray, bound: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of a set in the common order: light ones below the bound, heavy ones by `place`, the others; which are
+    heavy; and the place of each in the order."""
     s = np.frombuffer(low, np.uint64)
+    at = (s >> np.uint64(3)).astype(np.int64) + np.where(s >= bound, np.int64(2 << 61), np.int64(0))
     is_heavy = np.zeros(len(s), bool)
     if len(heavy):
-        is_heavy = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
-    rank = np.where(s >= _LOW, 2, is_heavy)
-    order = np.argsort(rank, kind="stable")
-    return s[order], is_heavy[order]
+        near = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
+        is_heavy = heavy[near] == s
+        at[is_heavy] = (1 << 61) + place[near[is_heavy]]
+    order = np.argsort(at, kind="stable")
+    return s[order], is_heavy[order], at[order]
 
 
-def _emitter(shared, percent: int, boundary: int, heavies: bool) -> Callable:
+def _emitter(shared, percent: int, boundary: int, heavies: bool, bound: np.uint64) -> Callable:
     """Signatures of each set: (sig, uid, n, hv, last, kind); with `heavies` those of heavy shingles alone.
 
     kind 1 is a single shingle and 2 a subset. hv is how many shingles of the prefix are heavy, last the place of
@@ -120,14 +128,14 @@ def _emitter(shared, percent: int, boundary: int, heavies: bool) -> Callable:
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = shared.value
+        heavy, place = shared.value
         subsets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for uid, n, low in zip(batch.column("uid").to_pylist(), batch.column("n").to_pylist(), batch.column("low").to_pylist(), strict=True):
                 if 100 * n < percent * (n + 1):  # only equal sets are linked with so small a one
                     continue
-                s, is_heavy = _ordered(low, heavy)
+                s, is_heavy, order = _ordered(low, heavy, place, bound)
                 p = prefix_size(n, percent)
                 if heavies:
                     sig = s[: p + 1][is_heavy[: p + 1]] if n <= boundary else s[:p][is_heavy[:p]]
@@ -151,13 +159,11 @@ def _emitter(shared, percent: int, boundary: int, heavies: bool) -> Callable:
                 sig = np.concatenate(sigs)
                 if not len(sig):
                     continue
-                rank = 2 if s[p - 1] >= _LOW else int(is_heavy[p - 1])
-                last = (rank << 61) + (int(s[p - 1]) >> 3)
                 out[0].append(sig)
                 out[1].append(np.full(len(sig), uid))
                 out[2].append(np.full(len(sig), n))
                 out[3].append(np.full(len(sig), int(is_heavy[:p].sum())))
-                out[4].append(np.full(len(sig), last))
+                out[4].append(np.full(len(sig), order[p - 1]))
                 out[5].append(np.concatenate(kinds))
             if out[0]:
                 table = {"sig": pa.array(np.concatenate(out[0]).view(np.int64)), "uid": pa.array(np.concatenate(out[1]), pa.int64())}
@@ -318,38 +324,54 @@ def _verifier(percent: int) -> Callable:
     return lean(verify)
 
 
-def _full_sets(size: int) -> Callable:
+def _full_sets(size: int, keep: tuple[str, ...]) -> Callable:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=1 << 20):
             tokens = []
             for s, a, b in zip(shingle_sets(batch.column("text"), size), batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True):
                 tokens.append(s.tobytes() if _signature(s) == (a, b) else None)  # another text of the same doc_id
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("cluster", "uid", "parts")} | {"tokens": pa.array(tokens, pa.binary())})
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {"tokens": pa.array(tokens, pa.binary())})
 
     return lean(build)
 
 
-def _candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that put every two linked classes(uid, n, low) into one component."""
+def _candidates(classes: DataFrame, percent: int, whole: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) that put every two linked classes(uid, n, low) into one component; whole(uids) has (uid, n, low) of
+    those classes with all their shingles.
+
+    A linked pair that no list tells shares a heavy shingle, so that both are looked at again among such sets.
+    """
+    sizes = {r.n: r["count"] for r in classes.filter("n <= 400").groupBy("n").count().collect()}
+    pairs, hubs = _listed(classes, percent, sizes, _LOW)
+    again, hubs = _listed(written(whole(hubs.select("uid").distinct()), "hub-sets"), percent, {}, _ALL)
+    first = hubs.groupBy("sig").agg(F.min("uid").alias("b"))
+    return pairs.unionByName(again).unionByName(hubs.join(first, "sig").select(F.col("uid").alias("a"), "b").distinct())
+
+
+def _listed(classes: DataFrame, percent: int, sizes: dict[int, int], bound: np.uint64) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) of light shingles, and (sig, uid) of the sets in long lists or with heavy ones in front.
+
+    Shingles below `bound` are counted, and `low` holds all of a set's that are; sizes are as choose_boundary() has it.
+    """
     spark = classes.sparkSession
-    counts = classes.select("low").mapInArrow(_token_counts, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    counts = classes.select("low").mapInArrow(_token_counts(bound), "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
     counts = written(counts.filter("c > 1"), "shingle-counts")
     heavy = [r.token for r in counts.filter(F.col("c") > HEAVY_FROM).orderBy(F.desc("c"), "token").limit(HEAVY_MAX).collect()]
     meets = counts.filter(F.col("c") <= HEAVY_FROM).agg(F.sum(F.col("c") * (F.col("c") - 1)), F.lit(1)).first()[0] or 0
-    sizes = {r.n: r["count"] for r in classes.filter("n <= 400").groupBy("n").count().collect()}
     total = classes.agg(F.sum("n")).first()[0] or 0
     boundary = choose_boundary(sizes, meets / max(1.0, total / LOW_SHARE), percent)
-    shared = spark.sparkContext.broadcast(np.sort(np.array(heavy, np.int64).view(np.uint64)))
+    # Of heavy shingles the rarest comes first: it tells most.
+    tokens = np.array(heavy[::-1], np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    shared = spark.sparkContext.broadcast((tokens[order], order))
     source = classes.select("uid", "n", "low")
-    rows = source.mapInArrow(_emitter(shared, percent, boundary, False), "sig long, uid long, n int, hv int, last long, kind byte")
+    rows = source.mapInArrow(_emitter(shared, percent, boundary, False, bound), "sig long, uid long, n int, hv int, last long, kind byte")
     lists = written(rows.repartition("sig").mapInArrow(_lists(percent, LIST_MAX), _PAIRS), "candidate-pairs")
     pairs = lists.filter("NOT hub").groupBy("a", "b").agg(F.sum(F.col("c").cast("long")).alias("c"), *[F.first(x).alias(x) for x in ("na", "nb", "hv", "side")])
     # What the rest of the smaller prefix's set may add, and heavy shingles, which no list has counted.
     pairs = pairs.filter((100 + percent) * (F.col("c") + F.col("hv") + F.col("side")) >= percent * (F.col("na") + F.col("nb")))
-    hubs = source.mapInArrow(_emitter(shared, percent, boundary, True), "sig long, uid long").unionByName(lists.filter("hub").select(F.col("b").alias("sig"), F.col("a").alias("uid")))
-    hubs = written(hubs, "heavy-sets")
-    first = hubs.groupBy("sig").agg(F.min("uid").alias("b"))
-    return pairs.select("a", "b").unionByName(hubs.join(first, "sig").select(F.col("uid").alias("a"), "b").distinct())
+    hubs = source.mapInArrow(_emitter(shared, percent, boundary, True, bound), "sig long, uid long").unionByName(lists.filter("hub").select(F.col("b").alias("sig"), F.col("a").alias("uid")))
+    return pairs.select("a", "b"), written(hubs, "heavy-sets")
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -377,17 +399,27 @@ def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
     others = written(known.select("uid").join(groups.select("uid"), "uid", "left_anti"), "other-rows")
     maybe, first = split_by_sketch(known.select("uid", "n", "low"), "uid", others)
     classes = written(first.unionByName(maybe.join(groups.select("uid"), "uid", "left_semi")), "class-sets")
-    clusters = components(_candidates(classes, percent))
+
+    def full(wanted: DataFrame, *keep: str) -> DataFrame:
+        """Whole sets of wanted(uid, doc_id, h1, h2) with the columns to keep."""
+        maybe, _ = split_by_sketch(rows, "doc_id", wanted.select("doc_id"))
+        kinds = dict(wanted.dtypes)
+        out = maybe.join(wanted, "doc_id").select(*keep, "h1", "h2", "text").mapInArrow(_full_sets(size, keep), ", ".join(f"{c} {kinds[c]}" for c in keep) + ", tokens binary")
+        return out.filter("tokens IS NOT NULL")
+
+    def whole(uids: DataFrame) -> DataFrame:
+        wanted = written(uids.join(groups, "uid").join(classes.select("uid", "n"), "uid"), "hub-classes")
+        return full(wanted, "uid", "n").withColumnRenamed("tokens", "low")
+
+    clusters = components(_candidates(classes, percent, whole))
     members = clusters.select(F.col("a").alias("uid"), F.col("b").alias("cluster")).unionByName(clusters.select(F.col("b").alias("uid"), F.col("b").alias("cluster")).distinct())
     members = members.join(classes.select("uid", "n"), "uid").join(groups, "uid")
     members = written(members, "members")
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     wanted = members.join(sizes, "cluster").select("cluster", "uid", "parts", "doc_id", "h1", "h2")
     wanted = written(wanted, "wanted-sets")
-    maybe, _ = split_by_sketch(rows, "doc_id", wanted.select("doc_id"))
-    whole = maybe.join(wanted, "doc_id").select("cluster", "uid", "parts", "h1", "h2", "text").mapInArrow(_full_sets(size), "cluster long, uid long, parts int, tokens binary").filter("tokens IS NOT NULL")
     own = F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")
-    blocks = whole.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = full(wanted, "cluster", "uid", "parts").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # A block pairs part x with part y > x, or part x with itself; side tells the two parts apart.
     low, high = F.least("own", "other"), F.greatest("own", "other")
     blocks = blocks.select(F.concat_ws(":", "cluster", low, high).alias("key"), "uid", F.when(F.col("own") == low, 0).otherwise(1).alias("side"), "tokens")

@@ -100,6 +100,26 @@ def test_long_lists_and_blocks(spark, monkeypatch):
     check(spark, corpus(5, 240))
 
 
+def test_common_passages_chain_no_clusters(spark, monkeypatch):
+    """Texts that share half of their words with many others, but link with none of them, aren't compared as one cluster."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passages = [[word() for _ in range(30)] for _ in range(12)]
+    docs = [(i, " ".join(passages[i % 12] + [word() for _ in range(60)] + passages[(i // 12) % 12])) for i in range(288)]
+    docs += [(288 + i, docs[i][1] + " more") for i in range(3)]
+    real, wanted = ngram_join.written, []
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "wanted-sets":
+            wanted.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    check(spark, docs)
+    assert wanted == [6]
+
+
 def test_small_sets_by_subsets(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "choose_boundary", lambda *a: 30)
     check(spark, corpus(7, 240), 5, 80)
