@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cuelight.functions import scoring as S
 from cuelight.functions import text as X
-from cuelight.models import HashedEmbedder, OverlapReranker
+from cuelight.models import HashedEmbedder, OverlapReranker, modest_batches
 from cuelight.operators import corpus, evaluate, index, links, relational, search
 from cuelight.sources import pages, subtitles, tables
 from cuelight.streaming import events as stream
@@ -50,6 +50,14 @@ def _shared(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _saved(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, for what is read several times."""
+    path = _shared(df.sparkSession, name)
+    modest_batches(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cue_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations in the shape of cues."""
     null = F.lit(None).cast("string")
@@ -579,16 +587,17 @@ def jaccard_tokens(spark: SparkSession, sf: str) -> DataFrame:
 def _eval_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of each twentieth conversation, as a query that expects its episode and the line."""
     c = cue_rows(spark, sf).filter("episode % 20 = 0")
-    return c.select(
+    rows = c.select(
         F.concat(F.lit("q"), "episode", F.lit("_"), "pos").alias("query_id"), F.col("text_clean").alias("query"), F.concat_ws("_", "show_id", X.episode_label("season", "episode")).alias("expected_episode_id"), F.col("season").alias("expected_season"), F.col("episode").alias("expected_episode"),
         F.lower("text_raw").alias("expected_cue_contains"), F.lit("partial").alias("category"), F.lit(None).cast("string").alias("notes"),
     )
+    return _saved(rows, "queries")
 
 
 def _index(spark: SparkSession, sf: str) -> DataFrame:
     # chunk_id() takes season 0 for missing and repeats its ids there; cue_id() keeps them apart.
     chunks = chunk_rows(spark, sf).withColumn("chunk_id", X.cue_id("show_id", "season", "episode", "cue_index"))
-    return index.build_index(chunks, HashedEmbedder())
+    return _saved(index.build_index(chunks, HashedEmbedder()), "index")
 
 
 @query()
