@@ -490,7 +490,8 @@ _MODE = "CASE WHEN len(words) = 0 THEN 'off' WHEN len(list_filter(words, lambda
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     """Whole benchmark items as queries."""
-    return table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query")).withColumn("words", X.distinctive_tokens("query"))
+    rows = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query")).withColumn("words", X.distinctive_tokens("query"))
+    return rows.withColumns({"n": F.size("words"), "mode": X.lexical_mode("words")})
 
 
 @query(f"WITH {_WORDS} SELECT item_id, array_to_string(words, ' ') AS words, {_MODE} AS mode FROM w")
@@ -506,7 +507,7 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
     """Every cue with every whole item, the stated queries, in blocks of items of a checked size."""
     cues = cue_rows(spark, sf).select("episode", "pos", "text_clean")
     pairs = search.against_blocks(cues, _items(spark, sf), "item_id")
-    return pairs.withColumns({"n": F.size("words"), "hits": X.token_hits("words", "text_clean"), "mode": X.lexical_mode("words")})
+    return pairs.withColumn("hits", X.token_hits("words", "text_clean"))
 
 
 @query(f"WITH {_HITS} SELECT item_id, episode, pos, hits FROM h WHERE hits > 0")
@@ -519,10 +520,18 @@ def token_hits(spark: SparkSession, sf: str) -> DataFrame:
 SELECT item_id, count(*) AS n_lines, round(CAST(sum(CASE WHEN mode = 'strict' AND n > 0 AND hits = 0 THEN -3.0 WHEN mode = 'strict' AND f >= 0.9 THEN 0.75 WHEN mode = 'strict' AND hits >= greatest(1, n // 2) THEN 0.25 WHEN mode = 'soft' AND f >= 0.85 THEN 0.5 WHEN mode = 'soft' AND n > 0 AND hits = 0 AND f < 0.4 THEN -1.0 ELSE 0.0 END) AS DOUBLE), 6) AS total,
 count(CASE WHEN mode = 'strict' AND (hits = 0 AND n > 0 OR f >= 0.9 OR hits >= greatest(1, n // 2)) OR mode = 'soft' AND (f >= 0.85 OR (n > 0 AND hits = 0 AND f < 0.4)) THEN 1 END) AS noted FROM g GROUP BY item_id""")
 def guardrail_no_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    """The guardrail's sums by query, with the share of words in place of the fuzzy score."""
+    """The guardrail's sums by query, with the share of words in place of the fuzzy score.
+
+    Pairs are counted by item and hits, which is all that a sum depends on. With mode off it depends on neither: such
+    items only take the number of lines.
+    """
+    h = _hits(spark, sf).filter("mode != 'off'").groupBy("item_id", "mode", "n", "hits").agg(F.count("*").alias("k"))
+    off = _items(spark, sf).filter("mode = 'off'").select("item_id", "mode", "n", F.lit(0).alias("hits"))
+    h = h.unionByName(off.crossJoin(table(spark, sf, "conversations").agg(F.count("*").alias("k")).filter("k > 0")))
     fuzzy = F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(0.0)
     score, note = S.guardrail(F.lit(0.0), F.col("mode"), F.col("n"), F.col("hits"), fuzzy, S.GuardrailConfig().columns())
-    return _hits(spark, sf).withColumn("d", score).withColumn("note", note).groupBy("item_id").agg(F.count("*").alias("n_lines"), F.round(F.sum("d"), 6).alias("total"), F.count("note").alias("noted"))
+    rows = h.withColumn("d", score * F.col("k")).withColumn("noted", F.when(note.isNotNull(), F.col("k")).otherwise(0))
+    return rows.groupBy("item_id").agg(F.sum("k").alias("n_lines"), F.round(F.sum("d"), 6).alias("total"), F.sum("noted").alias("noted"))
 
 
 @query()
