@@ -638,7 +638,7 @@ def search_evaluation(spark: SparkSession, sf: str) -> DataFrame:
 def guardrail_tuning(spark: SparkSession, sf: str) -> DataFrame:
     """The best guardrail configs of the quick grid."""
     q = _eval_queries(spark, sf)
-    scored = search.candidates(q, _index(spark, sf), HashedEmbedder(), n=GATE)
+    scored = search.candidates(q, _index(spark, sf), HashedEmbedder(), n=GATE, decisive=True)
     return evaluate.tune(scored, q, evaluate.grid(spark, evaluate.QUICK_GRID))
 
 
