@@ -628,7 +628,7 @@ def search_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     """Recall of expanded queries by type of variant."""
     q = _eval_queries(spark, sf)
     memory = q.select("query_id", F.array(F.reverse("query"), "query", F.upper("query")).alias("variants"))
-    wide = evaluate.expand_queries(q, memory, 2)
+    wide = _saved(evaluate.expand_queries(q, memory, 2), "expanded-queries")
     found = search.search(wide, _index(spark, sf), HashedEmbedder(), n=GATE)
     ranks = evaluate.hits(found, wide).join(wide.select("query_id", "variant_type"), "query_id")
     return evaluate.recall(ranks, ["variant_type"])
